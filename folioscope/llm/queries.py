@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, exact_topk, line_dedup, merkle, packing, simhash, word_table
+from folioscope.llm import chat_format, exact_topk, line_dedup, merkle, packing, quality, simhash, toxicity, word_table
 from folioscope.llm.common import table
+from folioscope.llm.labels import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+TOXIC_FROM, QUALITY_FROM = 0.5, 0.3
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxic_score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 @query
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best rows for every vector whose id is divisible by 50."""
@@ -59,6 +72,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    score = F.col("quality_score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
