@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +33,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_column(df: DataFrame, source: str, name: str, kind: DataType, make: Callable[[list], object]) -> DataFrame:
+    """``df`` with a column ``name`` (replaced if there is one) made from lists of the values of ``source``, in Arrow batches."""
+    names = df.columns
+    at, kept = names.index(source), [i for i, n in enumerate(names) if n != name]
+    fields = df.schema.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(make(batch.column(at).to_pylist()), to_arrow_type(kind))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], names=[*(names[i] for i in kept), name])
+
+    return df.mapInArrow(run, StructType([*(fields[i] for i in kept), StructField(name, kind)]))

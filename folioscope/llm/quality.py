@@ -6,19 +6,20 @@ unit length), one bin of each structure statistic, and as metadata bins of its l
 
 Defined cases: null and empty texts count as texts without words (their bins are features, they get a score);
 repeated rows and null ids give one row each; without labels of both kinds the score is the share of label 1, or
-0.5 without any; an empty table gives an empty result; further columns are ignored.
+0.5 without any; an empty table gives an empty result; further columns pass through (one of
+the score's name is replaced).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType
 
+from folioscope.llm.common import with_column
 from folioscope.llm.labels import fit_sample, share_of_ones
 
 WORD_BITS, FACTORS, BINS = 16, 8, 16
@@ -146,16 +147,4 @@ def train(docs: DataFrame, labels: DataFrame, **bounds) -> Machine:
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` and quality_score (0 to 1) of every whole text, without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = model.value.scores(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "quality_score"])
-
-    return docs.mapInArrow(run, f"{_ddl(docs)}quality_score double")
-
-
-def _ddl(docs: DataFrame) -> str:
-    return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in docs.schema)
+    return with_column(docs, text, "quality_score", DoubleType(), lambda column: model.value.scores(column))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, exact_topk, line_dedup, merkle, packing, quality, simhash, toxicity, word_table
+from folioscope.llm import chat_format, exact_topk, html_extract, line_dedup, merkle, packing, quality, simhash, toxicity, word_table
 from folioscope.llm.common import table
 from folioscope.llm.labels import held_out
 
@@ -81,6 +81,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= QUALITY_FROM).cast("int").alias("predicted"))
 
 
+@query
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 

@@ -9,18 +9,19 @@ with its highest window, each other with its highest and a random one, chosen an
 
 Defined cases: null and empty texts count as one window without words (they get a score); repeated rows and null
 ids give one row each; without labels of both kinds the score is the share of label 1, or 0.5 without any; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; further columns pass through (one of
+the score's name is replaced).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType
 
+from folioscope.llm.common import with_column
 from folioscope.llm.labels import fit_sample, share_of_ones
 from folioscope.llm.simhash import fingerprint
 
@@ -330,13 +331,4 @@ def train(docs: DataFrame, labels: DataFrame, **bounds) -> Network:
 def score(docs: DataFrame, network: Network, *, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and toxic_score (0 to 1) of every whole text, without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(network)
-    names = docs.columns
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = model.value.scores(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "toxic_score"])
-
-    schema = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}toxic_score double")
+    return with_column(docs, text, "toxic_score", DoubleType(), lambda column: model.value.scores(column))
