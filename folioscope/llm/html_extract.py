@@ -23,9 +23,9 @@ from folioscope.llm.common import with_column
 from folioscope.llm.html_blocks import Block, blocks
 from folioscope.llm.html_pages import made_page
 
-PATH_BITS, WORD_BITS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 13, 14, 12, 6, 6, 12
+PATH_BITS, WORD_BITS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 13, 17, 12, 6, 6, 12
 INPUT = PATH_DIM + WORD_DIM + MEASURES
-FIT_PAGES, CELLS = 2400, 60_000
+FIT_PAGES, CELLS, UNREAD, COMMON = 2400, 60_000, 0.3, 0.005
 
 
 @lru_cache(maxsize=100_000)
@@ -48,7 +48,9 @@ def _bags(bags: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class Labeller:
     w: dict[str, np.ndarray]
 
-    def inputs(self, found: list[Block], keep: dict | None = None) -> np.ndarray:
+    def inputs(self, pages: list[list[Block]], keep: dict | None = None) -> np.ndarray:
+        """One row per block of the pages, one after another."""
+        found = [b for p in pages for b in p]
         path_ids, path_of = _bags([[_hash(t, PATH_BITS) for t in b.path] or [_hash("", PATH_BITS)] for b in found])
         word_ids, word_of = _bags([[_hash(t, WORD_BITS) for t in b.text.lower().split()] for b in found])
         path_n, word_n = np.sqrt(np.bincount(path_of)), np.bincount(word_of)
@@ -56,7 +58,7 @@ class Labeller:
         words = np.add.reduceat(self.w["word"][word_ids], np.searchsorted(word_of, np.arange(len(found))), axis=0) / word_n[:, None]
         if keep is not None:
             keep |= {"path": (path_ids, path_of, path_n), "word": (word_ids, word_of, word_n)}
-        return np.concatenate([paths, words, _measures(found)], axis=1).astype(np.float32)
+        return np.concatenate([paths, words, np.concatenate([_measures(p) for p in pages])], axis=1).astype(np.float32)
 
     def states(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """x (page, time, input) -> states (page, time, 2 * HIDDEN)."""
@@ -89,7 +91,7 @@ class Labeller:
             group = [order.pop()]
             while order and len(pages[group[0]]) * (len(group) + 1) <= CELLS and 2 * len(pages[order[-1]]) >= len(pages[group[0]]):
                 group.append(order.pop())
-            x, mask = _padded([self.inputs(pages[i]) for i in group])
+            x, mask = _padded([self.inputs([pages[i]]) for i in group])
             p = 1 / (1 + np.exp(-self.logits(x, self.states(x, mask))))
             for k, i in enumerate(group):
                 out[i] = p[k, : len(pages[i])]
@@ -108,10 +110,12 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def _gradients(net: Labeller, pages: list[list[Block]], y: list[np.ndarray]) -> dict[str, np.ndarray]:
+def _gradients(net: Labeller, pages: list[list[Block]], y: list[np.ndarray], rng: np.random.Generator | None = None) -> dict[str, np.ndarray]:
+    """With rng, a share of UNREAD blocks is taken without words, so that path and context have to tell them."""
     bags: dict = {}
-    flat = [b for p in pages for b in p]
-    rows = net.inputs(flat, bags)
+    rows = net.inputs(pages, bags)
+    read = np.ones(len(rows)) if rng is None else (rng.random(len(rows)) >= UNREAD).astype(float)
+    rows[:, PATH_DIM : PATH_DIM + WORD_DIM] *= read[:, None]
     ends = np.cumsum([len(p) for p in pages])
     x, mask = _padded(np.split(rows, ends[:-1]))
     want = np.zeros_like(mask)
@@ -139,7 +143,7 @@ def _gradients(net: Labeller, pages: list[list[Block]], y: list[np.ndarray]) ->
         g[f"x{d}"], g[f"b{d}"] = np.einsum("pti,ptg->ig", x, da_all), da_all.sum(axis=(0, 1))
         dx += da_all @ net.w[f"x{d}"].T
     own = dx[mask > 0]
-    for name, part in (("path", own[:, :PATH_DIM]), ("word", own[:, PATH_DIM : PATH_DIM + WORD_DIM])):
+    for name, part in (("path", own[:, :PATH_DIM]), ("word", own[:, PATH_DIM : PATH_DIM + WORD_DIM] * read[:, None])):
         ids, owner, n = bags[name]
         g[name] = np.zeros_like(net.w[name])
         np.add.at(g[name], ids, (part / n[:, None])[owner])
@@ -157,6 +161,10 @@ def fit(pages: int = FIT_PAGES, *, epochs: int = 8, batch: int = 40, rate: float
             data.append((found, np.array([b.text in main for b in found], dtype=np.float32)))
     w = {"path": rng.normal(0, 0.1, (1 << PATH_BITS, PATH_DIM)), "word": np.zeros((1 << WORD_BITS, WORD_DIM)), "out": rng.normal(0, 0.3, 2 * HIDDEN), "skip": rng.normal(0, 0.1, INPUT), "c": np.zeros(1)}
     seen = np.unique([_hash(t, PATH_BITS) for found, _ in data for b in found for t in b.path])
+    pages_of_word = np.zeros(1 << WORD_BITS)
+    for found, _ in data:
+        pages_of_word[list({_hash(t, WORD_BITS) for b in found for t in b.text.lower().split()})] += 1
+    common = (pages_of_word > COMMON * len(data))[:, None]  # rarer words keep a zero vector
     unseen = np.ones(1 << PATH_BITS, bool)
     unseen[seen] = False
     w["path"][unseen] = 0
@@ -172,7 +180,8 @@ def fit(pages: int = FIT_PAGES, *, epochs: int = 8, batch: int = 40, rate: float
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
         for k in rng.permutation(len(groups)):
             t += 1
-            for name, g in _gradients(net, [data[i][0] for i in groups[k]], [data[i][1] for i in groups[k]]).items():
+            for name, g in _gradients(net, [data[i][0] for i in groups[k]], [data[i][1] for i in groups[k]], rng).items():
+                g = g * common if name == "word" else g
                 m, s = moments[name]
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
