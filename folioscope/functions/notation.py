@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LETTERS = {"en": "KQRBN", "pt": "RDTBC", "es": "RDTAC", "de": "KDTLS", "fr": "RDTFC"}
 FIGURES = "♔♕♖♗♘"
 LEXEME = r"\{[^}]*\}|;[^\n]*|\(|\)|\$\d+|\d+\.(?:\.\.)?|1-0|0-1|1/2-1/2|\*|[^\s(){};]+"
-SQUARE, ARROW = r"\b[a-h][1-8]\b(?!-)", r"\b[a-h][1-8]-[a-h][1-8]\b"
+SQUARE, ARROW = r"(?<!-)\b[a-h][1-8]\b(?!-)", r"\b[a-h][1-8]-[a-h][1-8]\b"
 
 
 def fen_shape(fen: Column) -> Column:

@@ -29,14 +29,17 @@ SELECT lang, source, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '[\
 FROM documents GROUP BY ROLLUP (lang, source)
 """)
 def a29_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = lambda c, name: F.sum(c).cast("bigint").alias(name)
-    return table(spark, sf_dir, "documents").rollup("lang", "source").agg(
-        F.count(F.lit(1)).alias("docs"),
-        total(F.regexp_count("text", F.lit(T.WORD)), "words"),
-        total(F.length("text"), "chars"),
-        total(F.length(F.regexp_replace("text", r"[ \t\r\n]", "")), "visible_chars"),
-        total(F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")), "paragraphs"),
+    # counted once per document, below the rows that the rollup multiplies
+    counted = table(spark, sf_dir, "documents").select(
+        "lang",
+        "source",
+        F.regexp_count("text", F.lit(T.WORD)).alias("words"),
+        F.length("text").alias("chars"),
+        F.length(F.regexp_replace("text", r"[ \t\r\n]", "")).alias("visible_chars"),
+        F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")).alias("paragraphs"),
     )
+    per_source = counted.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(c) for c in ("words", "chars", "visible_chars", "paragraphs")))
+    return per_source.rollup("lang", "source").agg(*(F.sum(c).cast("bigint").alias(c) for c in ("docs", "words", "chars", "visible_chars", "paragraphs")))
 
 
 @query("""

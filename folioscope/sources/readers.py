@@ -40,7 +40,7 @@ def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """path and page: .json files are page objects, others a page of their text."""
-    body = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    body = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     parsed = F.from_json("value", PAGE, {"mode": "FAILFAST"})
     plain = F.from_json(F.to_json(F.struct(F.col("value").alias("text"))), PAGE)
     return body.select("path", F.when(F.col("path").endswith(".json"), parsed).otherwise(plain).alias("page"))
@@ -64,7 +64,7 @@ def glyph_boxes(spark: SparkSession, path: str, height: int | None = None) -> Da
 
     ``char x1 y1 x2 y2 page [angle [negative]]``; a backslash escapes a character, a lone tilde is an empty one.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
     p = F.split(F.col("value"), " ")
     char = F.when(p[0] == "~", "").when(F.length(p[0]) > 1, F.regexp_replace(p[0], r"\\(.)", "$1")).otherwise(p[0])
     n = lambda i: F.get(p, F.lit(i)).cast("int")
@@ -127,7 +127,7 @@ class _Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.skip -= tag in ("script", "style", "title") and self.skip > 0
-        if tag in self.KINDS or tag in ("div", "section", "article"):
+        if tag in self.KINDS or tag in ("div", "section", "article", "ul", "ol", "table", "tr"):
             self.flush()
 
     def handle_data(self, data: str) -> None:
@@ -242,7 +242,7 @@ def affix_roots(spark: SparkSession, path: str) -> DataFrame:
 
 def games(spark: SparkSession, path: str) -> DataFrame:
     """path, game, tags and lexemes of the games of PGN files."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"(?m)(?=^\[Event )")).alias("game", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"(?m)(?=^\[Event )")).alias("game", "text"))
     some = whole.where(F.trim("text") != "")
     moves = F.regexp_replace("text", r'(?m)^\[\w+\s+"[^"]*"\]\s*', "")
     return some.select("path", "game", notation.pgn_tags(F.col("text")).alias("tags"), notation.lexemes(moves).alias("lexemes"))

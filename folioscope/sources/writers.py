@@ -58,13 +58,13 @@ def exported(blocks: DataFrame, doc: str, form: str, mode: str = "clean") -> Dat
 
     ``faithful`` keeps headers, footers and page breaks, ``clean`` leaves them out.
     """
+    if form not in ("html", "text"):
+        raise ValueError(f"unknown format {form}")
     rows = blocks if mode == "faithful" else blocks.where(~F.col("kind").isin("header", "footer", "page_break"))
     if form == "html":
         whole = in_order(rows, doc, html_block(), "\n")
         return whole.withColumn("value", F.concat(F.lit("<!DOCTYPE html>\n<html><body>\n"), "value", F.lit("\n</body></html>\n")))
-    if form == "text":
-        return in_order(rows, doc, text_block(), "\n\n")
-    raise ValueError(f"unknown format {form}")
+    return in_order(rows, doc, text_block(), "\n\n")
 
 
 def epub_files(chapters: DataFrame, book: str) -> DataFrame:

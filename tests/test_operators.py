@@ -1,0 +1,300 @@
+"""Operators on small hand-made rows, with the cases that are easy to get wrong."""
+
+import itertools
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.functions import notation as N
+from folioscope.functions import text as T
+from folioscope.operators import calibration as C
+from folioscope.operators import corpus, documents, graph, matching, metrics, neighbours, search
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first().v
+
+
+def lit(x):
+    return F.lit(x)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_normalised(spark):
+    assert value(spark, T.normalised(lit("  a  b\r\nc\t d \r\n"))) == "a b\nc d"
+    assert value(spark, T.normalised(lit("ﬁ Straße"), fold_case=True)) == "fi strasse"
+    assert value(spark, T.sort_key(lit("Élan"))) == "elan"
+    assert value(spark, T.plain_typography(lit("“a” – b… †"))) == '"a" - b... +'
+
+
+def test_shapes(spark):
+    assert value(spark, T.tokens(lit("Nf3, e4!"))) == ["Nf3", ",", "e4", "!"]
+    moves = {"Nxf6+": True, "O-O": True, "0-0-0": True, "counterplay": False, "Antakya2010": False, "e4": True}
+    assert {m: value(spark, T.looks_like_move(lit(m))) for m in moves} == moves
+    strict = {"a1]d": False, "27.♕xh6": True, "25...": True, "1-0": True, "1.mportant": False, "+-": True, "(Nf3)": True, "word": False}
+    assert {m: value(spark, T.is_notation(lit(m))) for m in strict} == strict
+    assert value(spark, T.signature(lit("Chapter 3 · 37"))) == "chapter"
+    heads = {"37": True, "=": False, "(see page 43)": False, "1.e4 e5": False, "a b c d e f g h i": False, "Endgames": True}
+    assert {h: value(spark, T.header_candidate(lit(h))) for h in heads} == heads
+    cases = {"heLLo": True, "Hello": False, "HELLO": False, "aB": False, "d'Or": True}
+    assert {w: value(spark, T.strange_case(lit(w))) for w in cases} == cases
+    assert value(spark, T.mojibake(lit("cafÃ©"))) and not value(spark, T.mojibake(lit("café")))
+    assert value(spark, T.domain(lit("1.e4 is best"))) == "mixed"
+
+
+def test_item_distance(spark):
+    rnd = random.Random(2)
+    rows = [([rnd.choice("abcd") for _ in range(rnd.randint(0, 9))], [rnd.choice("abcd") for _ in range(rnd.randint(0, 9))]) for _ in range(60)]
+    df = spark.createDataFrame(rows, "reference array<string>, prediction array<string>")
+    for r in metrics.sequence_errors(df).collect():
+        assert r.errors == distance(r.reference, r.prediction)
+        assert r.error_rate == (r.errors / r.total if r.total else float(bool(r.prediction)))
+        assert r.exact_items == (sum(x == y for x, y in zip(r.reference, r.prediction, strict=True)) if len(r.reference) == len(r.prediction) else 0)
+
+
+def test_text_errors_and_micro(spark):
+    df = spark.createDataFrame([("kitten", "sitting"), ("", "x"), ("", "")], "reference string, prediction string")
+    out = {(r.reference, r.prediction): (r.errors, r.cer) for r in metrics.text_errors(df).collect()}
+    assert out == {("kitten", "sitting"): (3, 0.5), ("", "x"): (1, 1.0), ("", ""): (0, 0.0)}
+    assert metrics.micro(metrics.text_errors(df.where("reference = ''"))).first().micro_cer == 0.0
+
+
+def test_alignment_order_of_steps():
+    assert metrics.align(["a", "b"], ["b"]) == [("a", None), ("b", "b")]
+    assert metrics.align(["a"], ["x", "y"]) in ([(None, "x"), ("a", "y")],)
+    rnd = random.Random(4)
+    for _ in range(40):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 7))] for _ in range(2))
+        pairs = metrics.align(a, b)
+        assert [x for x, _ in pairs if x is not None] == a and [y for _, y in pairs if y is not None] == b
+        assert sum(x != y for x, y in pairs) == distance(a, b)
+
+
+def test_insertions_belong_to_the_domain_before(spark):
+    df = spark.createDataFrame([(1, ["1.e4"], ["zz", "1.e4", "yy"])], "k int, reference array<string>, prediction array<string>")
+    out = {r.domain: r for r in metrics.errors_by_domain(metrics.aligned_tokens(df, "k"), "k").collect()}
+    assert (out["prose"].errors, out["prose"].tokens, out["prose"].cer) == (1, 0, 0.0)
+    assert (out["notation"].errors, out["notation"].chars, out["notation"].char_errors) == (1, 4, 2)
+    assert out["total"].errors == 2
+
+
+def test_greedy_boxes_in_reference_order(spark):
+    box = "page int, pos int, char string, x1 double, y1 double, x2 double, y2 double"
+    ref = spark.createDataFrame([(1, 0, "a", 0.0, 0.0, 10.0, 10.0), (1, 1, "b", 4.0, 0.0, 14.0, 10.0), (2, 0, "c", 0.0, 0.0, 1.0, 1.0)], box)
+    pred = spark.createDataFrame([(1, 0, "b", 4.0, 0.0, 13.0, 10.0), (3, 0, "d", 0.0, 0.0, 1.0, 1.0), (1, 1, "x", None, 0.0, 1.0, 1.0)], box)
+    out = {r.page: tuple(r)[1:] for r in metrics.match_boxes(ref, pred).collect()}
+    assert out == {1: (2, 1, 1, 0), 2: (1, 0, 0, 0), 3: (0, 1, 0, 0)}  # the first box takes the one that fits the second better
+    total = metrics.boxes_summary(metrics.match_boxes(ref, pred)).first()
+    assert (total.spurious, total.missed, total.precision, total.f1) == (1, 2, 0.0, None)
+
+
+def test_gate_counts_missing_metrics(spark):
+    values = spark.createDataFrame([("a", 1.0), ("b", 5.0)], "metric string, value double")
+    limits = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("c", 0.0)], "metric string, limit double")
+    assert {r.metric for r in metrics.gate(values, limits).collect()} == {"a", "c"}
+
+
+def observations(spark, rows):
+    return spark.createDataFrame([("d", "s", float(c), bool(y)) for c, y in rows], "domain string, source string, confidence double, correct boolean")
+
+
+def test_ece_edges(spark):
+    rows = [(0.0, 1), (1 / 15, 0), (0.2, 1), (1.0, 1), (1.0, 0)]
+    strict, closed = C.ece_strict(observations(spark, rows)).first(), C.ece_closed(observations(spark, rows)).first()
+
+    def slow(keep_zero):
+        total = 0.0
+        for i in range(15):
+            cell = [(c, y) for c, y in rows if i / 15 < c <= (i + 1) / 15 or (keep_zero and i == 0 and c == 0)]
+            if cell:
+                total += len(cell) / len(rows) * abs(sum(y for _, y in cell) / len(cell) - sum(c for c, _ in cell) / len(cell))
+        return total
+
+    assert strict.ece == pytest.approx(slow(False)) and closed.ece == pytest.approx(slow(True)) and strict.ece != closed.ece
+    assert math.isnan(C.ece_closed(observations(spark, rows).limit(0)).agg(F.max("ece")).first()[0] or float("nan"))
+
+
+def test_auroc_by_pairs(spark):
+    rnd = random.Random(8)
+    rows = [(round(rnd.random(), 1), rnd.random() < 0.5) for _ in range(80)]
+    wins = [1.0 if a > b else 0.5 if a == b else 0.0 for (a, x), (b, y) in itertools.product(rows, rows) if x and not y]
+    assert C.auroc(observations(spark, rows)).first().auroc == pytest.approx(sum(wins) / len(wins))
+    assert math.isnan(C.auroc(observations(spark, [(0.5, 1)])).first().auroc)
+
+
+def test_running_total_over_buckets(spark):
+    df = spark.range(100).select((F.col("id") * 3).alias("o"), (F.col("id") % 7).alias("v"))
+    want, acc = {}, 0
+    for i in range(100):
+        want[i * 3], acc = acc, acc + i % 7
+    assert {r.o: r.before for r in C.running_total(df, "o", "v", buckets=9).collect()} == want
+
+
+def test_components_and_leaks(spark):
+    chain = [(i, f"k{i // 2}", f"m{(i + 1) // 2}") for i in range(200)] + [(500, "", " "), (501, None, "z")]
+    df = spark.createDataFrame(chain, "item long, a string, b string")
+    roots = {r.item: r.root for r in graph.components_by_keys(df, "item", ["a", "b"]).collect()}
+    assert set(roots[i] for i in range(200)) == {0} and roots[500] == 500 and roots[501] == 501
+    parts = corpus.split_by_components(df, "item", ["a", "b"], 0.2, 0.2, 1).join(df, "item")
+    assert corpus.leaks(parts, ["a", "b"]).count() == 0
+    assert graph.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_planned_order(spark):
+    s = "id string, document string, families array<string>"
+    measured = spark.createDataFrame([("a-001", "a", ["x"]), ("b-001", "b", ["x", "y"])], s)
+    candidates = spark.createDataFrame([("a-010", "a", ["x", "y"]), ("a-011", "a", ["y", "other"]), ("b-010", "b", ["x", "y"]), ("b-001", "b", ["y"]), ("b-011", "b", ["z"])], s)
+    assert [r[:1] + r[2:] for r in corpus.planned(measured, candidates, ["x", "y"], 2)] == [("a-010", 2), ("b-010", 2), ("a-011", 1)]
+
+
+def test_split_groups_counts_and_determinism(spark):
+    g = spark.range(50).select(F.col("id").alias("g"))
+    out = corpus.split_groups(g, "g", 0.25, 0.05, 3)
+    assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"validation": 12, "test": 2, "train": 36}
+    assert sorted(out.collect()) == sorted(corpus.split_groups(g.repartition(7), "g", 0.25, 0.05, 3).collect())
+    assert corpus.split_groups(g.limit(1), "g", 0.2, 0.2, 3).first().split == "train"
+
+
+def test_upsert_and_difference(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    changes = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (4, "d", 1), (5, "e", 1)], "k int, v string, o int")
+    assert {r.k: r.v for r in corpus.upsert(base, changes, "k", "v", "o").collect()} == {1: "y", 2: "b", 3: "c", 4: "d", 5: "e"}
+    diff = corpus.difference(base, changes.where("o = 2 or k > 3").select("k", "v"), "k", F.col("v"))
+    assert {r.k: r.change for r in diff.collect()} == {1: "changed", 2: "removed", 3: "removed", 4: "added", 5: "added"}
+
+
+def test_neighbours(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.random() for _ in range(4)], f"c{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label string")
+    got = sorted((r.query, r["rank"], r.reference) for r in neighbours.nearest(df, df, 3).collect())
+    want = []
+    for q, v, _ in rows:
+        order = sorted((math.dist(v, w), j) for j, w, _ in rows if j != q)
+        want += [(q, k, j) for k, (_, j) in enumerate(order[:3], 1)]
+    assert got == sorted(want)
+    near = spark.createDataFrame([(1, 1, "a", 1.0), (1, 2, "b", 2.0), (1, 3, "b", 3.0), (2, 1, "a", 0.0), (2, 2, "b", 0.0), (3, 1, "a", 1.0)], "query int, rank int, label string, distance double")
+    assert {r.query: r.label for r in neighbours.voted(near).collect()} == {1: "b", 2: "a", 3: "a"}
+    by_class = near.groupBy("query", "label").agg(F.min("distance").alias("distance"))
+    assert {r.query: r.margin for r in neighbours.margin(by_class).collect()} == {1: 0.5, 2: 0.0, 3: 1.0}
+
+
+def test_consensus_conflict(spark):
+    rows = [(1, "x", "s1", 0.9), (1, "x", "s1", 0.8), (1, "y", "s2", 0.1), (2, "x", "s1", 0.5), (2, "x", "s2", 0.5), (2, "y", "s3", 0.9), (2, "y", "s4", 0.9), (3, "z", "s1", 0.2), (3, "z", "s2", 0.4)]
+    out = {r.region: (r.text, r.support, r.conflict, r.accepted) for r in matching.consensus(spark.createDataFrame(rows, "region int, text string, source string, confidence double"), 2).collect()}
+    assert out == {1: ("x", 1, False, False), 2: ("y", 2, True, False), 3: ("z", 2, False, True)}
+
+
+def test_lexicon_operators(spark):
+    lex = spark.createDataFrame([("knight", 9), ("night", 5), ("board", 3), ("chess", 2), ("pawn", 2)], "word string, freq int")
+    lines = spark.createDataFrame([(1, 0, "the chess-"), (1, 1, "x"), (2, 0, "a kni-"), (2, 1, "ght moves"), (3, 0, "pre-"), (3, 1, "view")], "doc int, pos int, line string")
+    assert [tuple(r) for r in matching.joined_hyphens(lines, lex, "doc").collect()] == [(2, 0, "knight")]
+    words = spark.createDataFrame([("chessboard",), ("knightx",), ("pawn",)], "word string")
+    assert [tuple(r) for r in matching.split_words(words, lex).collect()] == [("chessboard", 5, "chess", "board")]
+    assert [r.candidate for r in matching.suggestions(spark.createDataFrame([("knigt",)], "word string"), lex, 2).collect()] == ["knight"]
+    masks = spark.createDataFrame([("*ight",), ("bo*rd",), ("****",), ("p*wn*",)], "mask string")
+    assert {r["mask"]: r.word for r in matching.masked_words(masks, lex).collect()} == {"*ight": "night", "bo*rd": "board"}
+    rules = spark.createDataFrame([("suffix", "S", "y", "ies"), ("prefix", "U", "", "un")], "kind string, flag string, strip string, add string")
+    roots = spark.createDataFrame([("city", "S"), ("do", "U"), ("play", "U")], "root string, flag string")
+    found = matching.strip_affixes(spark.createDataFrame([("cities",), ("undo",), ("plaies",)], "word string"), roots, rules)
+    assert {(r.word, r.root) for r in found.collect()} == {("cities", "city"), ("undo", "do")}
+
+
+def test_replaced_page_and_label_guards(spark):
+    blocks = spark.createDataFrame([(0, 1, "page_break", "1"), (1, 1, "paragraph", "a"), (2, 2, "page_break", "2"), (3, 3, "paragraph", "c")], "pos int, page int, kind string, text string")
+    new = spark.createDataFrame([(0, "paragraph", "n0"), (1, "paragraph", "n1")], "pos int, kind string, text string")
+    text = lambda df: [r.text for r in df.orderBy("pos").collect()]
+    assert text(matching.replaced_page(blocks, 1, new)) == ["1", "n0", "n1", "2", "c"]
+    assert text(matching.replaced_page(blocks, 2, new)) == ["1", "a", "2", "n0", "n1", "c"]
+    with pytest.raises(ValueError):
+        matching.replaced_page(blocks, 9, new)
+    entries, labels = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "yes")], "k int, decision string")
+    assert {r.k: r.decision for r in matching.label_join(entries, labels, "k", all_required=False).collect()} == {1: "yes", 2: "pending"}
+    with pytest.raises(ValueError):
+        matching.label_join(entries, labels, "k")
+    with pytest.raises(ValueError):
+        matching.label_join(entries.limit(1).where("k = 2"), labels, "k")
+
+
+def test_undo_steps(spark):
+    rows = [(1, i, b, u) for i, (b, u) in enumerate([("x", False), ("x", False), (None, False), (None, True), (None, True), (None, True), ("y", False)])]
+    df = spark.createDataFrame(rows, "k int, o int, batch string, undo boolean")
+    assert [r.step for r in documents.steps_of_events(df, "k", "o").orderBy("o").collect()] == [1, 1, 2, 3, 4, 5, 6]
+    assert documents.standing_steps(df, "k", "o").first().steps == [6]
+
+
+def test_review_queue(spark):
+    s = "id string, page int, kind string, status string, flagged boolean, confidence double, reason_codes array<string>, warnings array<string>"
+    rows = [("a", 1, "diagram", "unresolved", False, 0.9, [], []), ("b", 1, "paragraph", "automatic", False, 0.5, ["low_confidence"], []), ("c", 1, "paragraph", "reviewed", True, 0.1, ["low_confidence"], []), ("d", 2, "odd", "automatic", False, 0.9, [], ["w"]), ("e", 2, "table", "automatic", False, 0.9, ["minor"], [])]
+    out = [(r.id, r.severity) for r in documents.review_queue(spark.createDataFrame(rows, s)).collect()]
+    assert out == [("a", 115), ("b", 110), ("d", 50)]
+
+
+def test_nesting_by_stack(spark):
+    rnd = random.Random(6)
+    levels = [rnd.randint(1, 6) for _ in range(60)]
+    parents, stack = [], []
+    for i, level in enumerate(levels):
+        while stack and levels[stack[-1]] >= level:
+            stack.pop()
+        parents.append(stack[-1] if stack else None)
+        stack.append(i)
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(levels)], "doc int, pos int, level int")
+    assert [r.parent for r in documents.nesting(df).orderBy("pos").collect()] == parents
+
+
+def test_lines_of_boxes(spark):
+    rows = [(1, 0, 0.0, 0.0, 5.0, 10.0), (1, 1, 6.0, 1.0, 9.0, 11.0), (1, 2, 0.0, 20.0, 5.0, 30.0), (1, 3, 6.0, 28.0, 7.0, 30.0), (1, 4, 9.0, 45.0, 12.0, 55.0)]
+    df = spark.createDataFrame(rows, "page int, pos int, x1 double, y1 double, x2 double, y2 double")
+    assert [r.line for r in documents.lines_of_boxes(df).orderBy("pos").collect()] == [0, 0, 1, 1, 2]
+
+
+def test_appended_names(spark):
+    s = "name string, digest int"
+    book = spark.createDataFrame([("a.html", 1), ("b.html", 2), ("b-1.html", 3)], s)
+    other = spark.createDataFrame([("a.html", 1), ("b.html", 9), ("c.html", 4)], s)
+    assert {tuple(r) for r in documents.appended(book, other).collect()} == {("a.html", 1), ("b.html", 2), ("b-1.html", 3), ("b-2.html", 9), ("c.html", 4)}
+
+
+def test_search(spark):
+    rows = spark.createDataFrame([(1, "a cat\nCat. concat c at a.b")], "k int, t string")
+    one = lambda s: value(spark, search.count(lit("a cat\nCat. concat a.b axb"), s))
+    assert one(search.Search("cat")) == 2 and one(search.Search("cat", ignore_case=True)) == 3
+    assert one(search.Search("cat", whole_word=True, ignore_case=True)) == 2 and one(search.Search("a.b")) == 1 and one(search.Search("x*", regex=True)) == 1
+    found = search.occurrences(rows, "k", "t", search.Search("cat", ignore_case=True)).orderBy("at").collect()
+    assert [(r.at, r.line, r.column, r.found) for r in found] == [(2, 1, 3, "cat"), (6, 2, 1, "Cat"), (14, 2, 9, "cat")]
+    assert value(spark, search.replaced(lit("1$ \\ x"), search.Search("x", replacement="$1\\"))) == "1$ \\ $1\\"
+    assert value(spark, search.replaced(lit("ab"), search.Search("(a)(b)", regex=True, replacement=r"\2$\1"))) == "b$a"
+    text, errors = search.batch(lit("aa"), {"x": search.Search("a", replacement="b"), "bad": search.Search("(", regex=True)}, ["bad", "none", "x"])
+    assert value(spark, text) == "bb" and set(errors) == {"bad", "none"}
+
+
+def test_typography_proposals():
+    found = search.proposals_of('He said "0-0" -- fine...', "en")
+    assert [(p["rule"], p["new"]) for p in found] == [("quotes", "“0-0”"), ("dash", "—"), ("ellipsis", "…")]  # castling lies inside the quotes
+
+
+def test_notation(spark):
+    fen = "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 1"
+    assert value(spark, N.fen_shape(lit(fen))) and not value(spark, N.fen_shape(lit(fen.replace("4P3", "5P3")))) and not value(spark, N.fen_shape(lit("8/8/8/8/8/8/8/8 w")))
+    assert value(spark, N.fen_key(lit(fen))).endswith(" b") and value(spark, N.fen_board(lit(fen))).split("\n")[4] == "....P..."
+    out = value(spark, N.lexemes(lit("1.e4 (1.d4 d5 {x (y)}) $1 e5 1-0")))
+    assert [(x.text, x.kind, x.depth) for x in out][:4] == [("1.", "number", 0), ("e4", "move", 0), ("(", "open", 1), ("1.", "number", 1)]
+    assert out[-1].kind == "result" and out[-1].depth == 0
+    assert value(spark, N.player_key(lit("Garry  Kasparov"))) == "Kasparov, Garry" and value(spark, N.player_key(lit("Kasparov, Garry"))) == "Kasparov, Garry"
+    assert value(spark, N.marks(lit("e4 d5 e4 g1-f3"))) == ["g1-f3", "e4", "d5"]
+    assert value(spark, N.to_figures(lit("Kings play Nf3"))) == "Kings play ♘f3" and value(spark, N.to_letters(lit("♘f3"), "de")) == "Sf3"
+    assert value(spark, N.side_to_move(lit("Black to move"), lit("1.e4"))) == "b" and value(spark, N.side_to_move(lit(""), lit("12...Kd7"))) == "b"
+    tags = N.pgn_tags(lit('[White "A"]\n[Black "B"]\n\n1. e4'))
+    assert value(spark, tags) == {"White": "A", "Black": "B"}
+    assert value(spark, N.pgn_text(tags, F.array(lit("e4"), lit("e5"), lit("Nf3")), lit("*"))).endswith("\n\n1. e4 e5 2. Nf3 *\n")
