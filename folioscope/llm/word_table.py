@@ -32,6 +32,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from folioscope.llm.common import shuffle_partitions
 
 BLOCK_CHARS = 12_000_000
+#: The words of about so many characters of text meet in one task, so its table stays bounded as the input grows.
+ROUTE_CHARS = 32_000_000
 _NEVER_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: White space as regular expressions of the tokenizer see it (fixed values, Unicode White_Space).
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -187,7 +189,8 @@ def _joined(path: str):
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded (the ids' pieces joined) of every row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    routes = shuffle_partitions(docs.sparkSession)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    routes = max(shuffle_partitions(docs.sparkSession), -(-chars // ROUTE_CHARS))
     asked = rows.mapInArrow(_asked(routes, block_chars), "route int, block bigint, asked binary")
     answers = asked.repartition(routes, "route").mapInArrow(_answers(tokenizer_path), "block bigint, asked binary, lengths binary, ids binary")
     texts = rows.mapInArrow(_texts(block_chars), "block bigint, doc_ids array<bigint>, sizes array<bigint>, body binary")
