@@ -23,6 +23,7 @@ from folioscope.llm.common import with_column
 from folioscope.llm.labels import fit_sample, share_of_ones
 
 WORD_BITS, FACTORS, BINS = 16, 8, 16
+CACHE_WORDS, BATCH = 150_000, 512
 _WORDS = 1 << WORD_BITS
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-()?"]] = True
@@ -35,7 +36,7 @@ _FEATURES = _WORDS + BINS * len(STATISTICS)
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:  # bounds the cache
+        if len(self) > CACHE_WORDS:
             self.clear()
         self[word] = h = crc32(word.encode("utf-8", "surrogatepass")) & (_WORDS - 1)
         return h
@@ -91,7 +92,8 @@ class Machine:
         return self.bias + np.add.reduceat(self.weights[ids] * x, starts) + 0.5 * ((sums * sums).sum(axis=1) - squares)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits([features(t) for t in texts]), -40, 40)))
+        parts = [self.logits([features(t) for t in texts[i : i + BATCH]]) for i in range(0, len(texts), BATCH)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *parts]), -40, 40)))
 
 
 def fit(sample: list[tuple[str, int]], *, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:

@@ -28,7 +28,7 @@ from folioscope.llm.simhash import fingerprint
 WINDOW, STRIDE, HIDDEN, DIM = 32, 24, 8, 6
 WORD_BITS, GRAM_BITS = 18, 18
 _EDGE = ".,;:!?\"'()[]{}*#$%&|<>-"
-CACHE_WORDS, BATCH_WINDOWS = 200_000, 8192
+CACHE_WORDS, CACHE_TOKENS, BATCH_WINDOWS, SPELL = 100_000, 1_000_000, 4096, 20_000
 COPY_BITS, DOUBT = 8, 1.5
 
 
@@ -141,7 +141,7 @@ class Network:
         while at < len(texts):
             place: dict[str, int] = {}
             numbered, size = [], 0
-            while at + len(numbered) < len(texts) and len(place) < CACHE_WORDS and size < 2_000_000:
+            while at + len(numbered) < len(texts) and len(place) < CACHE_WORDS and size < CACHE_TOKENS:
                 numbered.append(_numbered(split(texts[at + len(numbered)]), place))
                 size += len(numbered[-1])
             gates = self.gates(list(place))
@@ -155,7 +155,7 @@ class Network:
     def gates(self, vocabulary: list[str]) -> np.ndarray:
         """inputs() of the vocabulary after a first row of no word (number 0)."""
         none = np.concatenate([self.w["b0"], self.w["b1"]])[None]
-        parts = [self.inputs(vocabulary[i : i + 20_000]) for i in range(0, len(vocabulary), 20_000)]
+        parts = [self.inputs(vocabulary[i : i + SPELL]) for i in range(0, len(vocabulary), SPELL)]
         return np.concatenate([none, *parts]).astype(np.float32)
 
 
@@ -195,9 +195,11 @@ def fit(sample: list[tuple[str, int]], *, share: float = 0.1, rounds: int = 3, s
     place: dict[str, int] = {}
     numbered = [_numbered(split(t), place) for t, _ in sample]
     vocabulary = list(place)
-    word_ids, gram_ids, first = spelled(vocabulary)
-    word_of = np.concatenate([[0], word_ids])
-    grams_of = [np.zeros(0, dtype=np.int64), *np.split(gram_ids, first[1:])]
+    word_of, grams_of = np.zeros(1, dtype=np.int64), [np.zeros(0, dtype=np.int32)]
+    for i in range(0, len(vocabulary), SPELL):
+        word_ids, gram_ids, first = spelled(vocabulary[i : i + SPELL])
+        word_of = np.concatenate([word_of, word_ids])
+        grams_of += np.split(gram_ids.astype(np.int32), first[1:])
     distinct = [np.unique(n) for n in numbered]
     words, word_used = _log_odds([word_of[n] for n in distinct], y, 1 << WORD_BITS)
     grams, gram_used = _log_odds([np.concatenate([grams_of[i] for i in n]) if len(n) else np.zeros(0, dtype=int) for n in distinct], y, 1 << GRAM_BITS)
