@@ -18,20 +18,27 @@ def bin_of(confidence: Column, bins: int = BINS) -> Column:
     return F.size(F.filter(edges, lambda e: e < confidence))
 
 
+def _levels(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of equal confidence as one, with their number (n) and how many are correct (y)."""
+    return rows.groupBy(*by, "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("bigint")).alias("y"))
+
+
 def _ece(binned: DataFrame, by: list[str]) -> DataFrame:
-    cells = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("correct").cast("double")).alias("a"))
+    """Of weighted rows: bin, confidence, n, y."""
+    total = F.sum("n")
+    cells = binned.groupBy(*by, "bin").agg((F.sum(F.col("confidence") * F.col("n")) / total).alias("c"), (F.sum("y") / total).alias("a"), total.alias("n"))
     gap = F.sum(F.when(F.col("bin") > 0, F.col("n") * F.abs(F.col("a") - F.col("c"))).otherwise(0.0))
     return cells.groupBy(*by).agg(F.sum("n").alias("n"), F.coalesce(F.try_divide(gap, F.sum("n")), F.lit(float("nan"))).alias("ece"))
 
 
 def ece_strict(rows: DataFrame, *by: str) -> DataFrame:
     """Expected calibration error over bins (lo, hi]; a confidence of 0 lies in no bin but counts among the rows."""
-    return _ece(rows.withColumn("bin", bin_of(F.col("confidence"))), list(by))
+    return _ece(_levels(rows, list(by)).withColumn("bin", bin_of(F.col("confidence"))), list(by))
 
 
 def ece_closed(rows: DataFrame, *by: str) -> DataFrame:
     """The same with 0 in the first bin."""
-    return _ece(rows.withColumn("bin", F.greatest(bin_of(F.col("confidence")), F.lit(1))), list(by))
+    return _ece(_levels(rows, list(by)).withColumn("bin", F.greatest(bin_of(F.col("confidence")), F.lit(1))), list(by))
 
 
 def reliability(rows: DataFrame, *by: str) -> DataFrame:
@@ -89,9 +96,11 @@ def recalibrated(confidence: Column, temperature: Column, bias: Column | None =
 def best_temperature(rows: DataFrame, *by: str, low: int = 55, high: int = 550, step: int = 5) -> DataFrame:
     """The temperature (in hundredths: low to high by step, and 1) of least closed ECE; the lowest of equals, 1 first."""
     grid = F.array(F.lit(100), *(F.lit(t) for t in range(low, high + 1, step) if t != 100))
-    tried = rows.withColumn("t", F.explode(grid))
+    # the grid multiplies levels of confidence, not rows
+    tried = _levels(rows, list(by)).withColumn("t", F.explode(grid))
     scaled = tried.withColumn("confidence", recalibrated(F.col("confidence"), F.col("t") / 100.0))
-    errors = ece_closed(scaled, *by, "t").withColumn("ece", F.round("ece", 12))
+    binned = scaled.withColumn("bin", F.greatest(bin_of(F.col("confidence")), F.lit(1)))
+    errors = _ece(binned, [*by, "t"]).withColumn("ece", F.round("ece", 12))
     return errors.groupBy(*by).agg(F.min_by("t", F.struct("ece", (F.col("t") != 100), "t")).alias("t"), F.min("ece").alias("ece"))
 
 

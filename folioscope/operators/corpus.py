@@ -74,18 +74,33 @@ def split_groups(groups: DataFrame, group: str, validation: float, test: float,
     n = groups.count()
     test_n = min(max(1, round(n * test)), max(n - 1, 0)) if test > 0 and n > 1 else 0
     valid_n = min(max(1, round(n * validation)), max(n - test_n - 1, 0)) if validation > 0 and n > 2 else 0
-    # the first test_n + valid_n hashes decide: one small sorted limit, not a rank over all groups
-    first = groups.select(hash_order(F.col(group), seed).alias("h")).orderBy("h").limit(test_n + valid_n).collect() if n else []
-    marks = [r.h for r in first]
     h = hash_order(F.col(group), seed)
+    marks = _ranked_hashes(groups.select(h.alias("h")), {test_n, test_n + valid_n} - {0})
     part = F.lit("train")
     if valid_n:
-        part = F.when(h <= marks[test_n + valid_n - 1], "validation").otherwise(part)
+        part = F.when(h <= marks[test_n + valid_n], "validation").otherwise(part)
     if test_n:
-        part = F.when(h <= marks[test_n - 1], "test").otherwise(part)
+        part = F.when(h <= marks[test_n], "test").otherwise(part)
     return groups.select(group, part.alias("split"))
 
 
+def _ranked_hashes(hashes: DataFrame, ranks: set[int]) -> dict[int, str]:
+    """The hashes of the given ranks (from 1): counts of 65,536 prefixes find the prefix, whose hashes alone are sorted."""
+    if not ranks:
+        return {}
+    prefix = F.substring("h", 1, 4)
+    counts = sorted((r.p, r["count"]) for r in hashes.groupBy(prefix.alias("p")).count().collect())
+    out: dict[int, str] = {}
+    for rank in ranks:
+        before = 0
+        for p, n in counts:
+            if before + n >= rank:
+                break
+            before += n
+        out[rank] = sorted(r.h for r in hashes.where(prefix == p).collect())[rank - before - 1]
+    return out
+
+
 def stratified(rows: DataFrame, item: str, label: str, validation: float, test: float, minimum: int, seed: int) -> DataFrame:
     """Per class shares in hash order; classes below the minimum stay in train, which is never emptied."""
     per = Window.partitionBy(label)

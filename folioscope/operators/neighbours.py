@@ -28,8 +28,8 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, *, id_col: str =
             return pd.DataFrame(columns=names)
         a, b = np.stack(q["vector"].to_numpy()), np.stack(r["vector"].to_numpy())
         ids, labels, out = r["id"].to_numpy(), r["label"].to_numpy(), []
-        for i in range(0, len(a), 64):
-            for row, query in zip(((a[i : i + 64, None, :] - b[None]) ** 2).sum(-1), q["id"].iloc[i : i + 64], strict=True):
+        for i in range(0, len(a), 16):
+            for row, query in zip(((a[i : i + 16, None, :] - b[None]) ** 2).sum(-1), q["id"].iloc[i : i + 16], strict=True):
                 row = np.where(ids == query, np.inf, row)
                 bar = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
                 near = np.flatnonzero((row <= bar) & np.isfinite(row))  # all ties of the k-th stay for the final ranking
