@@ -11,6 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 
+#: Rows whose values with_column holds as Python objects at a time.
+SLICE = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Reads one of the Parquet tables of a data folder through Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,8 +46,10 @@ def with_column(df: DataFrame, source: str, name: str, kind: DataType, make: Cal
     fields = df.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array(make(batch.column(at).to_pylist()), to_arrow_type(kind))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], names=[*(names[i] for i in kept), name])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                made = pa.array(make(batch.column(at).to_pylist()), to_arrow_type(kind))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], names=[*(names[i] for i in kept), name])
 
     return df.mapInArrow(run, StructType([*(fields[i] for i in kept), StructField(name, kind)]))

@@ -15,6 +15,7 @@ the score's name is replaced).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -154,9 +155,11 @@ class Network:
 
     def gates(self, vocabulary: list[str]) -> np.ndarray:
         """inputs() of the vocabulary after a first row of no word (number 0)."""
-        none = np.concatenate([self.w["b0"], self.w["b1"]])[None]
-        parts = [self.inputs(vocabulary[i : i + SPELL]) for i in range(0, len(vocabulary), SPELL)]
-        return np.concatenate([none, *parts]).astype(np.float32)
+        out = np.empty((len(vocabulary) + 1, 6 * HIDDEN), dtype=np.float32)
+        out[0] = np.concatenate([self.w["b0"], self.w["b1"]])
+        for i in range(0, len(vocabulary), SPELL):
+            out[i + 1 : i + 1 + SPELL] = self.inputs(vocabulary[i : i + SPELL])
+        return out
 
 
 def _numbered(tokens: list[str], place: dict[str, int]) -> np.ndarray:
@@ -174,7 +177,7 @@ def windows(numbers: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
-def _log_odds(rows: list[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _log_odds(rows: Iterable[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of every hash by documents, less DOUBT standard errors, and the hashes of at least three documents."""
     ones, zeros = np.zeros(size), np.zeros(size)
     for ids, label in zip(rows, y, strict=True):
@@ -201,8 +204,8 @@ def fit(sample: list[tuple[str, int]], *, share: float = 0.1, rounds: int = 3, s
         word_of = np.concatenate([word_of, word_ids])
         grams_of += np.split(gram_ids.astype(np.int32), first[1:])
     distinct = [np.unique(n) for n in numbered]
-    words, word_used = _log_odds([word_of[n] for n in distinct], y, 1 << WORD_BITS)
-    grams, gram_used = _log_odds([np.concatenate([grams_of[i] for i in n]) if len(n) else np.zeros(0, dtype=int) for n in distinct], y, 1 << GRAM_BITS)
+    words, word_used = _log_odds((word_of[n] for n in distinct), y, 1 << WORD_BITS)
+    grams, gram_used = _log_odds((np.concatenate([grams_of[i] for i in n]) if len(n) else np.zeros(0, dtype=int) for n in distinct), y, 1 << GRAM_BITS)
     net = Network(np.zeros((1 << WORD_BITS, DIM), np.float32), np.zeros((1 << GRAM_BITS, DIM), np.float32))
     net.words[:, 0], net.grams[:, 0] = words, grams
     for d in (0, 1):
