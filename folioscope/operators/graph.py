@@ -21,12 +21,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of the edges (a, b).
 
-    Large-star and small-star steps alternate until the edges no longer change; each is a partial minimum per node
+    Large-star and small-star steps alternate until the edges are stars around the roots; each is a partial minimum per node
     and a join, so no node's neighbours are collected. The number of rounds grows with the logarithm of the nodes.
     """
     at = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    while not _stars(at):
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         # large star: every larger neighbour to the least one; rows then point from a larger node (a) to a smaller (b)
@@ -34,10 +33,15 @@ def connected(edges: DataFrame) -> DataFrame:
         lower = checkpointed(down.groupBy("a").agg(F.min("b").alias("m")))
         linked = down.join(lower, "a").where("b <> m").select(F.col("m").alias("a"), "b")
         at = checkpointed(linked.unionByName(lower.select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
-        now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return at.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(at.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = now
+    return at.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(at.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every b has one a and no a is a b: then each a is the root of its component."""
+    children = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    parents = edges.select(F.col("a").alias("p")).distinct()
+    most, chained = children.join(parents, F.col("b") == F.col("p"), "left").agg(F.max("n"), F.count("p")).first()
+    return (most or 1) == 1 and not chained
 
 
 def components_by_keys(items: DataFrame, item: str, keys: list[str]) -> DataFrame:
