@@ -6,7 +6,8 @@ that stand on at least ``min_pages`` pages of it are boilerplate there and leave
 Defined cases: blank lines are never counted nor dropped; lines are compared trimmed of spaces; a line counts
 once per page however often it repeats; a null host is a host of its own; a null text stays null and counts as
 a page without lines; repeated rows are pages of their own; a page may end with an empty text, its row stays;
-an empty table gives an empty result; further columns pass through unchanged.
+an empty table gives an empty result; further columns pass through unchanged
+(columns n_lines and n_dropped are replaced).
 A line is identified in its host by 96 bits of hash (xxHash64 and Murmur3).
 """
 
@@ -53,14 +54,14 @@ def drop_boilerplate(pages: DataFrame, host: Column, *, text: str = "text", max_
     while they are few; otherwise pages and lines meet by host and salt, so a hot host is dealt to SALTS parts.
     """
     found = checkpointed(boilerplate_lines(pages, host, text=text, max_ratio=max_ratio, min_pages=min_pages).select("host_key", "key"))
-    sets = found.groupBy("host_key").agg(F.collect_list("key").alias("__keys"))
+    sets = found.groupBy(F.col("host_key").alias("__set_host")).agg(F.collect_list("key").alias("__keys"))
     at = pages.withColumn("__host", F.coalesce(host.cast("string"), F.lit("\0")))
     if found.count() <= BROADCAST_LINES:
-        met = at.join(F.broadcast(sets), F.col("__host") == F.col("host_key"), "left")
+        met = at.join(F.broadcast(sets), F.col("__host") == F.col("__set_host"), "left")
     else:
         salts = sets.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         dealt = at.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        met = dealt.join(salts, (F.col("__host") == F.col("host_key")) & (F.col("__salt") == F.col("__part")), "left").drop("__salt", "__part")
+        met = dealt.join(salts, (F.col("__host") == F.col("__set_host")) & (F.col("__salt") == F.col("__part")), "left").drop("__salt", "__part")
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__keys"), _key(x)), F.lit(False)) | (F.trim(x) == ""))
     return (
@@ -68,5 +69,5 @@ def drop_boilerplate(pages: DataFrame, host: Column, *, text: str = "text", max_
         .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
         .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("__kept"), F.lit(0)))
         .withColumn(text, F.array_join("__kept", "\n"))
-        .drop("__host", "host_key", "__keys", "__kept")
+        .drop("__host", "__set_host", "__keys", "__kept")
     )

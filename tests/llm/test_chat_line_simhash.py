@@ -130,3 +130,27 @@ def test_connected_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in simhash.connected(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+def test_simhash_without_ids_and_repeated_ids(spark):
+    rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (None, "only here one two"), (7, "A B c d e f g"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.id, r.component_id) for r in simhash.components(df).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (None, 5), (None, None), (7, 5), (9, 9)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_per_component(df).collect()), key=str)
+    assert kept == sorted([(5, rows[0][1]), (5, rows[0][1]), (None, rows[0][1]), (None, rows[3][1]), (9, None)], key=str)
+
+
+def test_line_dedup_with_clashing_names(spark):
+    rows = [(i, f"top\nx{i}", "h", "k", "q", -1, -1) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, text string, host string, host_key string, key string, n_lines int, pages int")
+    out = {r.id: r for r in line_dedup.drop_boilerplate(df, F.col("host"), max_ratio=0.5, min_pages=3).collect()}
+    assert out[3].text == "x3" and (out[3].host_key, out[3].key, out[3].pages, out[3].n_lines) == ("k", "q", -1, 2)
+
+
+def test_chat_hot_conversation_with_equal_turns(spark):
+    rows = [(1, 0, "user", f"t{i % 3}") for i in range(400)] + [(i, None, None, None) for i in range(2, 30)]
+    out = formatted(spark, rows)
+    text = "".join(f"user\n{t}\n" for t in sorted(r[3] for r in rows[:400]))
+    assert out[1].n_turns == 400 and out[1].turns_sha256 == hashlib.sha256(text.encode()).hexdigest() and not out[1].valid
+    assert out[2].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest()
