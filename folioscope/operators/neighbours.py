@@ -68,3 +68,21 @@ def nearest_classes(near: DataFrame, n: int) -> DataFrame:
     best = near.groupBy("query", "label").agg(F.min("distance").alias("distance"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "label"))
     return best.withColumn("place", place).where(F.col("place") <= n)
+
+
+def similar_items(items: DataFrame, limit: float, *, ratio: float = 1.15, height: float = 1.20) -> DataFrame:
+    """id, other, distance of items of one label whose proportions and heights are alike and whose vectors are close.
+
+    Items meet by label and by logarithmic classes of height and proportion (each also in the next lower and higher
+    class), so only items of like geometry are compared; distance is L2 over the square root of the dimensions.
+    """
+    log = lambda c, base: F.floor(F.ln(c) / F.ln(F.lit(base)))
+    own = items.select("id", "label", "vector", F.col("height").cast("double").alias("h"), (F.col("width") / F.col("height")).alias("r"))
+    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    a = own.withColumn("hc", log(F.col("h"), height)).withColumn("rc", log(F.col("r"), ratio))
+    b = a.withColumn("hc", near("hc")).withColumn("rc", near("rc"))
+    b = b.select("label", "hc", "rc", F.col("id").alias("other"), F.col("vector").alias("v"), F.col("h").alias("oh"), F.col("r").alias("o"))
+    alike = lambda x, y, k: F.greatest(x / y, y / x) <= k
+    met = a.join(b, ["label", "hc", "rc"]).where((F.col("id") != F.col("other")) & alike(F.col("h"), F.col("oh"), height) & alike(F.col("r"), F.col("o"), ratio))
+    squares = F.aggregate(F.zip_with("vector", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+    return met.withColumn("distance", F.sqrt(squares / F.size("vector"))).where(F.col("distance") <= limit).select("id", "other", "distance")

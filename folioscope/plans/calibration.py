@@ -152,3 +152,16 @@ SELECT query, label, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION
 """)
 def j10_nearest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.nearest_classes(near(spark, sf_dir), 3).withColumn("distance", F.round("distance", 6))
+
+
+@query("""
+WITH i AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v, 10 + vec_id % 7 AS width, 20 + vec_id % 5 AS height FROM embeddings)
+SELECT a.id, b.id AS other, round(list_distance(a.v, b.v) / sqrt(len(a.v)), 6) AS distance FROM i a JOIN i b ON a.label = b.label AND a.id <> b.id
+WHERE greatest(a.height / b.height, b.height / a.height) <= 1.2::DOUBLE AND greatest((a.width / a.height) / (b.width / b.height), (b.width / b.height) / (a.width / a.height)) <= 1.15::DOUBLE
+  AND list_distance(a.v, b.v) / sqrt(len(a.v)) <= 0.9
+""")
+def j14_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths and heights made from the ids."""
+    k = F.col("vec_id")
+    items = table(spark, sf_dir, "embeddings").select(k.alias("id"), "label", F.col("embedding").cast("array<double>").alias("vector"), (10 + k % 7).alias("width"), (20 + k % 5).alias("height"))
+    return K.similar_items(items, 0.9).withColumn("distance", F.round("distance", 6))
