@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpointed
+from folioscope.llm.common import checkpointed, shuffle_partitions
 from folioscope.operators.graph import connected
 
 SEED = 42
@@ -37,6 +37,11 @@ SEGMENTS = 16
 BUCKET = 48
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SLICE = 1 << 16
+#: For 256-bit fingerprints: bits of a chain key, members of a chunk, names of the four longs.
+KEY_BITS, CHUNK = 18, 256
+#: Crowded keys are broadcast up to this number (16 bytes each), else joined by shuffle.
+CROWDED = 100_000
+_WIDE = ["f0", "f1", "f2", "f3"]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -147,6 +152,127 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", w
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """256 bits as four signed longs, by the rule of ``fingerprint`` over two 128-bit hashes of every shingle."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not tokens:
+        return np.zeros(4, dtype="<i8")
+    shingles = [b" ".join(tokens)] if len(tokens) <= words else list(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
+    counts = np.zeros(256, dtype=np.int64)
+    for at in range(0, len(shingles), _SLICE // 4):
+        part = shingles[at : at + _SLICE // 4]
+        hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in part for seed in (SEED, SEED + 1)]), dtype=np.uint8)
+        counts += np.unpackbits(hashes.reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(shingles)).view(">u8").astype("<u8").view("<i8")
+
+
+def wide_distance(similarity: float) -> int:
+    """Differing bits of 256 to expect of two texts whose shingle sets have this Jaccard similarity, and a standard deviation."""
+    share = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return round(256 * share + np.sqrt(256 * share * (1 - share)))
+
+
+def _forests(distance: int):
+    """Spanning edges of the links inside every group (rows in order of key and chunk): at most one edge less than members."""
+
+    def links_of(columns: list[np.ndarray]) -> np.ndarray:
+        key, chunk, nodes = columns[:3]
+        prints = np.stack([c.view(np.uint64) for c in columns[3:]], axis=1)
+        ends = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1, [len(key)]])
+        found = [_pair_edges(nodes, prints, ends, distance)]
+        large = np.flatnonzero(np.diff(ends) > 2)
+        found += [_forest(nodes[s:e], prints[s:e], distance) for s, e in zip(ends[large].tolist(), ends[large + 1].tolist(), strict=True)]
+        return np.unique(np.concatenate(found), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None  # the last group may go on in the next batch
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            cut = int(np.flatnonzero((columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1]))[0])
+            whole, rest = [c[:cut] for c in columns], [c[cut:] for c in columns]
+            if cut:
+                edges = links_of(whole)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+        if rest is not None:
+            edges = links_of(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _pair_edges(nodes: np.ndarray, prints: np.ndarray, ends: np.ndarray, distance: int) -> np.ndarray:
+    first = ends[:-1][np.diff(ends) == 2]
+    near = np.bitwise_count(prints[first] ^ prints[first + 1]).sum(axis=1, dtype=np.int64) <= distance
+    return np.stack([nodes[first[near]], nodes[first[near] + 1]], axis=1).astype(np.int64)
+
+
+def _forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarray:
+    apart = np.zeros((len(nodes), len(nodes)), dtype=np.int64)
+    for k in range(4):
+        apart += np.bitwise_count(prints[:, None, k] ^ prints[None, :, k])
+    linked, left, edges = apart <= distance, np.ones(len(nodes), dtype=bool), []
+    for start in range(len(nodes)):
+        if not left[start]:
+            continue
+        left[start], waiting = False, [start]
+        while waiting:
+            at = waiting.pop()
+            new = np.flatnonzero(linked[at] & left)
+            left[new] = False
+            waiting += new.tolist()
+            edges += [(nodes[at], nodes[n]) for n in new]
+    return np.array(edges, dtype=np.int64).reshape(-1, 2)
+
+
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id and component_id of rows whose shingle sets are estimated alike by ``similarity`` or more.
+
+    256-bit fingerprints link at ``wide_distance``. A ring of this many bits has budgets that
+    leave too few exact bits for a key, so chains of KEY_BITS equal bits, one from every fourth bit of the ring, are
+    the join keys instead: a pair at the threshold has some such chain in about four cases of five, closer pairs in
+    more, and groups of copies hold together over many pairs. Members of a crowded key are dealt to chunks of CHUNK,
+    each with the key's smallest member. Rows without an id are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype="<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(4))], names=["id", *_WIDE])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    fps = checkpointed(rows.mapInArrow(run, "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"))
+    classes = checkpointed(fps.groupBy(*_WIDE).agg(F.min("id").alias("node")))
+    keys = []
+    for start in range(0, 256, 4):
+        word, off = start // 64, start % 64
+        bits = F.shiftleft(_WIDE[word], off).bitwiseOR(F.shiftrightunsigned(_WIDE[(word + 1) % 4], 64 - off)) if off else F.col(_WIDE[word])
+        keys.append(F.shiftrightunsigned(bits, 64 - KEY_BITS) + F.lit(start << KEY_BITS).cast("bigint"))
+    keyed = classes.select(F.explode(F.array(*keys)).alias("key"), "node", *_WIDE)
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+    crowded = checkpointed(counts.where(F.col("n") > CHUNK).select("key", "least", F.ceil(F.col("n") / CHUNK).alias("chunks")))
+    small = crowded.select("key", "chunks")
+    met = keyed.join(F.broadcast(small) if crowded.count() <= CROWDED else small, "key", "left")
+    dealt = met.select("key", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("chunks")), F.lit(0)).alias("chunk"), "node", *_WIDE)
+    anchors = crowded.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("least").alias("node"))
+    members = dealt.unionByName(anchors.join(classes, "node"))
+    grouped = members.repartition(shuffle_partitions(docs.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk")
+    edges = grouped.mapInArrow(_forests(wide_distance(similarity)), "a bigint, b bigint")
+    rooted = connected(edges)
+    named = classes.join(rooted, "node", "left").select(*_WIDE, F.coalesce("root", "node").alias("component_id"))
+    return fps.join(checkpointed(named), _WIDE).select("id", "component_id")
+
+
+def one_per_similar(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its ``similar_components``; rows without an id stay."""
+    found = similar_components(docs, id_col=id_col, **options)
+    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
     found = components(docs, id_col=id_col, **options)

@@ -154,3 +154,30 @@ def test_chat_hot_conversation_with_equal_turns(spark):
     text = "".join(f"user\n{t}\n" for t in sorted(r[3] for r in rows[:400]))
     assert out[1].n_turns == 400 and out[1].turns_sha256 == hashlib.sha256(text.encode()).hexdigest() and not out[1].valid
     assert out[2].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest()
+
+
+def test_similar_components_by_shingle_sets(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=4))
+    docs, family = [], []
+    for f in range(12):
+        base = [word() for _ in range(400)]
+        for c in range(1 if f % 3 == 0 else 5 if f < 10 else 60):
+            copy = list(base)
+            for _ in range(0 if c == 0 else rnd.randint(1, 4)):
+                copy[rnd.randrange(len(copy))] = word()
+            docs.append(" ".join(copy))
+            family.append(f)
+    docs += ["", None, " \n", "two words", "two words"]
+    family += ["e", "e", "e", "w", "w"]
+    df = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(docs)] + [(None, docs[0], 0, 0)], "doc_id long, text string, node int, key int")
+    want = {i: family.index(f) for i, f in enumerate(family)}
+    for chunk in (256, 8):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = {r.id: r.component_id for r in simhash.similar_components(df).collect()}
+        assert got == want
+    kept = [r.doc_id for r in simhash.one_per_similar(df).collect()]
+    assert sorted(kept, key=str) == sorted([*set(want.values()), None], key=str)
+    assert simhash.similar_components(df.limit(0)).count() == 0
