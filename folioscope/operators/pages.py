@@ -99,13 +99,18 @@ def repaired_words(aligned: DataFrame, lexicon: DataFrame) -> DataFrame:
     return met.select(*aligned.columns, F.when(swap, F.col("pred")).otherwise(F.col("ref")).alias("word"), swap.alias("repaired"))
 
 
+#: Characters of the longest misread piece.
+LONGEST = 4
+
+
 def joined_letters(words: DataFrame, lexicon: DataFrame, confusions: DataFrame) -> DataFrame:
     """Unknown words that exactly one confusion (read, meant: such as rn, m) turns into one known word."""
     known = lexicon.select("word").distinct()
     unknown = words.select("word").distinct().join(known, "word", "left_anti")
-    at = unknown.join(confusions, F.expr("contains(word, read)"))
-    places = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("read")) == F.col("read"))
-    tried = at.select("word", "read", "meant", F.explode(places).alias("i"))
+    # every piece of up to LONGEST characters meets the confusions by equality
+    places = unknown.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))))
+    pieces = places.where("i + n - 1 <= length(word)").withColumn("read", F.expr("substring(word, i, n)"))
+    tried = pieces.join(confusions, "read").select("word", "read", "meant", "i")
     made = tried.select("word", F.expr("concat(left(word, i - 1), meant, substring(word, i + length(read)))").alias("to"))
     good = made.join(known.select(F.col("word").alias("to")), "to", "left_semi").distinct()
     return good.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.first("to").alias("to")).where("n = 1").select("word", "to")
