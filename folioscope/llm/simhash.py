@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from folioscope.llm.common import checkpointed, shuffle_partitions
+from folioscope.llm.common import SLICE, checkpointed, shuffle_partitions, with_column
 from folioscope.operators.graph import connected
 
 SEED = 42
@@ -37,11 +38,10 @@ SEGMENTS = 16
 BUCKET = 48
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SLICE = 1 << 16
-#: For 256-bit fingerprints: bits of a chain key, members of a chunk, names of the four longs.
-KEY_BITS, CHUNK = 18, 256
-#: Crowded keys are broadcast up to this number (16 bytes each), else joined by shuffle.
-CROWDED = 100_000
-_WIDE = ["f0", "f1", "f2", "f3"]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: For sets of shingles: members of a chunk of a crowded key, documents of the sample that tells common shingles, how many of these are kept.
+CHUNK, SAMPLE, COMMON = 256, 10_000, 1 << 17
+_MEMBER = ["key", "node", "size", "place", "n", "first", "first_size", "first_place"]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -152,125 +152,205 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", w
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """256 bits as four signed longs, by the rule of ``fingerprint`` over two 128-bit hashes of every shingle."""
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; texts of at most ``words`` words are one shingle of all words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not tokens:
-        return np.zeros(4, dtype="<i8")
-    shingles = [b" ".join(tokens)] if len(tokens) <= words else list(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
-    counts = np.zeros(256, dtype=np.int64)
-    for at in range(0, len(shingles), _SLICE // 4):
-        part = shingles[at : at + _SLICE // 4]
-        hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in part for seed in (SEED, SEED + 1)]), dtype=np.uint8)
-        counts += np.unpackbits(hashes.reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(shingles)).view(">u8").astype("<u8").view("<i8")
-
-
-def wide_distance(similarity: float) -> int:
-    """Differing bits of 256 to expect of two texts whose shingle sets have this Jaccard similarity, and a standard deviation."""
-    share = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
-    return round(256 * share + np.sqrt(256 * share * (1 - share)))
-
-
-def _forests(distance: int):
-    """Spanning edges of the links inside every group (rows in order of key and chunk): at most one edge less than members."""
-
-    def links_of(columns: list[np.ndarray]) -> np.ndarray:
-        key, chunk, nodes = columns[:3]
-        prints = np.stack([c.view(np.uint64) for c in columns[3:]], axis=1)
-        ends = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1, [len(key)]])
-        found = [_pair_edges(nodes, prints, ends, distance)]
-        large = np.flatnonzero(np.diff(ends) > 2)
-        found += [_forest(nodes[s:e], prints[s:e], distance) for s, e in zip(ends[large].tolist(), ends[large + 1].tolist(), strict=True)]
-        return np.unique(np.concatenate(found), axis=0)
+    if len(tokens) <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), SEED)], dtype=np.uint64)
+    hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in tokens], dtype=np.uint64)
+    mixed = np.zeros(len(tokens) - words + 1, dtype=np.uint64)
+    for k in range(words):
+        mixed = (mixed + hashes[k : k + len(mixed)]) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def _digests(words: int):
+    return lambda texts: [xxhash.xxh3_128_digest(shingle_hashes(t, words).tobytes(), SEED) for t in texts]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield tuple(c.to_pylist() for c in batch.slice(start, SLICE).columns)
+
+
+def _common(texts: DataFrame, words: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met repeatedly in a sample of ``texts``, sorted, and how often. It only orders shingles: what it misses costs time, not links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None  # the last group may go on in the next batch
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            if not len(columns[0]):
-                continue
-            cut = int(np.flatnonzero((columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1]))[0])
-            whole, rest = [c[:cut] for c in columns], [c[cut:] for c in columns]
-            if cut:
-                edges = links_of(whole)
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-        if rest is not None:
-            edges = links_of(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+        for (part,) in _sliced(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(t, words) for t in part]).view(np.int64))], names=["key"])
+
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, count // SAMPLE))) == 0).select("text")
+    met = sample.mapInArrow(run, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = met.orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    hashes, counts = np.array([r["key"] for r in found], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in found], dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _prefixes(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """The first shingles of a text, rare ones first: two texts of this similarity share one among those of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, texts in _sliced(batches):
+            keys, sizes = [], []
+            for text in texts:
+                own = shingle_hashes(text, words)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))]
+                sizes.append(len(own))
+                keys.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
+            lengths = [len(k) for k in keys]
+            places = np.concatenate([np.arange(n) for n in lengths])
+            columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), lengths), np.repeat(sizes, lengths), places]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "size", "place"])
 
     return run
 
 
-def _pair_edges(nodes: np.ndarray, prints: np.ndarray, ends: np.ndarray, distance: int) -> np.ndarray:
-    first = ends[:-1][np.diff(ends) == 2]
-    near = np.bitwise_count(prints[first] ^ prints[first + 1]).sum(axis=1, dtype=np.int64) <= distance
-    return np.stack([nodes[first[near]], nodes[first[near] + 1]], axis=1).astype(np.int64)
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole groups (rows in order of the first ``names`` columns) and the place after each row's group."""
 
+    def ended(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:names]])
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(columns[0])]])
+        return columns, np.repeat(starts[1:], np.diff(starts))
 
-def _forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarray:
-    apart = np.zeros((len(nodes), len(nodes)), dtype=np.int64)
-    for k in range(4):
-        apart += np.bitwise_count(prints[:, None, k] ^ prints[None, :, k])
-    linked, left, edges = apart <= distance, np.ones(len(nodes), dtype=bool), []
-    for start in range(len(nodes)):
-        if not left[start]:
+    rest: list[list[np.ndarray]] = []  # the last group may go on in the next batch
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
             continue
-        left[start], waiting = False, [start]
-        while waiting:
-            at = waiting.pop()
-            new = np.flatnonzero(linked[at] & left)
-            left[new] = False
-            waiting += new.tolist()
-            edges += [(nodes[at], nodes[n]) for n in new]
-    return np.array(edges, dtype=np.int64).reshape(-1, 2)
+        cut = int(np.flatnonzero(np.logical_and.reduce([c == c[-1] for c in columns[:names]]))[0])
+        if rest and not cut and all(c[0] == r[0] for c, r in zip(columns[:names], rest[-1], strict=False)):
+            rest.append(columns)
+            continue
+        if rest or cut:
+            yield ended([*rest, [c[:cut] for c in columns]])
+        rest = [[c[cut:] for c in columns]]
+    if rest:
+        yield ended(rest)
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id and component_id of rows whose shingle sets are estimated alike by ``similarity`` or more.
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys with several members, with their number and the first member."""
+    for (key, node, size, place), end in _whole_groups(batches, 1):
+        first = np.searchsorted(end, end)
+        own = np.flatnonzero(end - first > 1)
+        at = first[own]
+        columns = [key[own], node[own], size[own], place[own], (end - first)[own], node[at], size[at], place[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_MEMBER)
 
-    256-bit fingerprints link at ``wide_distance``. A ring of this many bits has budgets that
-    leave too few exact bits for a key, so chains of KEY_BITS equal bits, one from every fourth bit of the ring, are
-    the join keys instead: a pair at the threshold has some such chain in about four cases of five, closer pairs in
-    more, and groups of copies hold together over many pairs. Members of a crowded key are dealt to chunks of CHUNK,
-    each with the key's smallest member. Rows without an id are left out.
-    """
+
+def _may_reach(similarity: float, size, place, other_size, other_place, least, ceil):
+    """Whether texts of these sizes that share the shingles at these places of their orders can be alike enough."""
+    overlap = least(place, other_place) + 1 + least(size - place, other_size - other_place) - 1
+    return overlap >= ceil((size + other_size) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _met(similarity: float):
+    """Pairs (a < b) of different roots inside every block of a key that can be alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, low, high, own, node, root, size, place), end in _whole_groups(batches, 3):
+            at, step, found = np.arange(len(node)), 0, []
+            while True:
+                step += 1
+                at = at[at + step < end[at]]
+                if not len(at):
+                    break
+                to = at + step
+                good = (root[at] != root[to]) & ((low[at] == high[at]) | (own[at] != own[to]))
+                good &= _may_reach(similarity, size[at], place[at], size[to], place[to], np.minimum, np.ceil)
+                found.append(np.stack([np.minimum(node[at[good]], node[to[good]]), np.maximum(node[at[good]], node[to[good]])], axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have this Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([wide_fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype="<i8").reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(4))], names=["id", *_WIDE])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    fps = checkpointed(rows.mapInArrow(run, "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"))
-    classes = checkpointed(fps.groupBy(*_WIDE).agg(F.min("id").alias("node")))
-    keys = []
-    for start in range(0, 256, 4):
-        word, off = start // 64, start % 64
-        bits = F.shiftleft(_WIDE[word], off).bitwiseOR(F.shiftrightunsigned(_WIDE[(word + 1) % 4], 64 - off)) if off else F.col(_WIDE[word])
-        keys.append(F.shiftrightunsigned(bits, 64 - KEY_BITS) + F.lit(start << KEY_BITS).cast("bigint"))
-    keyed = classes.select(F.explode(F.array(*keys)).alias("key"), "node", *_WIDE)
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
-    crowded = checkpointed(counts.where(F.col("n") > CHUNK).select("key", "least", F.ceil(F.col("n") / CHUNK).alias("chunks")))
-    small = crowded.select("key", "chunks")
-    met = keyed.join(F.broadcast(small) if crowded.count() <= CROWDED else small, "key", "left")
-    dealt = met.select("key", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("chunks")), F.lit(0)).alias("chunk"), "node", *_WIDE)
-    anchors = crowded.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("least").alias("node"))
-    members = dealt.unionByName(anchors.join(classes, "node"))
-    grouped = members.repartition(shuffle_partitions(docs.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk")
-    edges = grouped.mapInArrow(_forests(wide_distance(similarity)), "a bigint, b bigint")
-    rooted = connected(edges)
-    named = classes.join(rooted, "node", "left").select(*_WIDE, F.coalesce("root", "node").alias("component_id"))
-    return fps.join(checkpointed(named), _WIDE).select("id", "component_id")
-
-
-def one_per_similar(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+            kept: list[tuple[int, int]] = []
+            for part in _sliced([batch]):
+                last, one = None, np.zeros(0, dtype=np.uint64)
+                for a, b, x, y in zip(*part, strict=True):
+                    if a != last:
+                        last, one = a, shingle_hashes(x, words)
+                    two = shingle_hashes(y, words)
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if both >= similarity * (len(one) + len(two) - both) - 1e-9:
+                        kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _similar_rows(docs: DataFrame, id_col: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs with __row and __digest, and __digest, component_id and chosen (a row) of every class of rows with an id."""
+    spark = docs.sparkSession
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = checkpointed(with_column(numbered, text, "__digest", BinaryType(), _digests(words)))
+    least = F.min(F.struct(F.col(id_col).cast("bigint").alias("id"), F.col("__row").alias("node")))
+    classes = checkpointed(rows.where(F.col(id_col).isNotNull()).groupBy("__digest").agg(least.alias("x")).select("__digest", "x.id", "x.node"))
+    texts = rows.select(F.col("__row").alias("node"), F.col(text).alias("text")).join(classes.select("node"), "node")
+    common, counts = _common(texts, words, classes.count())
+    keyed = texts.select("node", "text").mapInArrow(_prefixes(words, similarity, common, counts), "key bigint, node bigint, size bigint, place bigint")
+    parts = shuffle_partitions(spark)
+    shared = checkpointed(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, ", ".join(f"{c} bigint" for c in _MEMBER)))
+
+    # first every member with the first of its key, so that the pairs inside groups of copies need not all be compared
+    c = F.col
+    near = _may_reach(similarity, c("size"), c("place"), c("first_size"), c("first_place"), F.least, F.ceil)
+    stars = checkpointed(shared.where(near & (c("node") != c("first"))).select(c("first").alias("a"), c("node").alias("b")).distinct())
+    starred = checkpointed(_verified(stars, texts, words, similarity))
+    rooted = connected(starred)
+
+    # then all pairs of different roots; crowded keys by blocks of two chunks
+    chunks = F.ceil(c("n") / CHUNK)
+    own = F.pmod(F.xxhash64("node"), c("chunks"))
+    held = shared.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "place", chunks.alias("chunks"))
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), c("chunks") - 1)))
+    blocks = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "size", "place")
+    grouped = blocks.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    pairs = grouped.mapInArrow(_met(similarity), "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti")
+    edges = starred.unionByName(checkpointed(_verified(checkpointed(pairs), texts, words, similarity)))
+
+    named = classes.join(connected(edges), "node", "left").select("__digest", F.coalesce("root", "node").alias("root"), F.struct("id", "node").alias("x"))
+    chosen = named.groupBy("root").agg(F.min("x").alias("x"))
+    return rows, checkpointed(named.select("__digest", "root").join(chosen, "root").select("__digest", c("x.id").alias("component_id"), c("x.node").alias("chosen")))
+
+
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id and component_id of rows; texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
+
+    Exact but for equal 64-bit hashes of different shingles. Of two such sets, each in one order of all shingles (rare
+    ones first), the first n - ceil(similarity * n) + 1 shingles share one; these are the join keys. Every pair that
+    meets and whose sizes and places allow the similarity is held against the texts. No key is cut: a crowded one is
+    compared by all blocks of two chunks of CHUNK members. Equal sets collapse first, and pairs already in one component
+    are not compared again. Rows without an id are left out.
+    """
+    rows, classes = _similar_rows(docs, id_col, text, words, similarity)
+    held = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), "__digest")
+    return held.join(classes, "__digest").select("id", "component_id")
+
+
+def one_per_similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its ``similar_components``; rows without an id stay."""
-    found = similar_components(docs, id_col=id_col, **options)
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    rows, classes = _similar_rows(docs, id_col, text, words, similarity)
+    found = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone"), "__digest").join(classes, "__digest")
+    gone = found.where(F.col("__gone") != F.col("component_id")).select("__gone").distinct()
+    return rows.join(gone, F.col(id_col) == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

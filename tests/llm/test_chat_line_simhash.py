@@ -181,3 +181,36 @@ def test_similar_components_by_shingle_sets(spark, monkeypatch):
     kept = [r.doc_id for r in simhash.one_per_similar(df).collect()]
     assert sorted(kept, key=str) == sorted([*set(want.values()), None], key=str)
     assert simhash.similar_components(df.limit(0)).count() == 0
+
+
+def jaccard_components(texts):
+    """Smallest index reachable over pairs of five-word shingle sets of Jaccard similarity 0.8 or more, by all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_pairs_spread_over_a_crowded_key(spark, monkeypatch):
+    """Groups of two around 0.8, all of them over the same long passage, so that prefixes meet in crowded keys."""
+    import random
+
+    rnd = random.Random(5)
+    passage, texts = [f"p{i}" for i in range(80)], []
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(rnd.choice([4, 12, 40]))]
+        for _ in range(2):
+            copy = passage + own
+            for _ in range(rnd.randint(0, 3)):
+                copy[rnd.randrange(len(copy))] = f"r{rnd.random()}"
+            texts.append(" ".join(copy))
+    want = jaccard_components(texts)
+    assert 20 < len(set(want.values())) < 110
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (256, 4):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert {r.id: r.component_id for r in simhash.similar_components(df).collect()} == want
