@@ -214,3 +214,15 @@ def test_pairs_spread_over_a_crowded_key(spark, monkeypatch):
     for chunk in (256, 4):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
         assert {r.id: r.component_id for r in simhash.similar_components(df).collect()} == want
+
+
+def test_a_repeated_passage_does_not_link_texts(spark):
+    import random
+
+    rnd = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [" ".join([f"t{t}w{i}" for i in range(300)] + [passage] * 20) for t in range(6)]
+    texts.append(texts[0] + f" one more {rnd.random()}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.similar_components(df).collect()}
+    assert got == jaccard_components(texts) == {**{i: i for i in range(6)}, 6: 0}
