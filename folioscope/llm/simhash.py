@@ -346,11 +346,15 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
 
 
 def one_per_similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its ``similar_components``; rows without an id stay."""
+    """One row of every component of ``similar_components``: of the smallest id and, where that is repeated, one of its rows.
+
+    Rows are told apart by themselves, not by their id: texts under a repeated id stay or leave each for itself, and of
+    equal rows one stays. Rows without an id have no component and stay.
+    """
     rows, classes = _similar_rows(docs, id_col, text, words, similarity)
-    found = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone"), "__digest").join(classes, "__digest")
-    gone = found.where(F.col("__gone") != F.col("component_id")).select("__gone").distinct()
-    return rows.join(gone, F.col(id_col) == F.col("__gone"), "left_anti").select(*docs.columns)
+    found = rows.where(F.col(id_col).isNotNull()).select(F.col("__row").alias("__gone"), "__digest").join(classes, "__digest")
+    gone = found.where(F.col("__gone") != F.col("chosen")).select("__gone")
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

@@ -226,3 +226,11 @@ def test_a_repeated_passage_does_not_link_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.id: r.component_id for r in simhash.similar_components(df).collect()}
     assert got == jaccard_components(texts) == {**{i: i for i in range(6)}, 6: 0}
+
+
+def test_one_per_similar_with_repeated_ids(spark):
+    one, two = "a b c d e f g", "other words that stand alone here"
+    rows = [(3, one), (5, one), (5, two), (7, two), (9, "x y"), (9, "x y"), (None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_per_similar(df).collect()), key=str)
+    assert kept == sorted([(3, one), (5, two), (9, "x y"), (None, "x y")], key=str)
