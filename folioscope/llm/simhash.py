@@ -41,6 +41,8 @@ _SLICE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: For sets of shingles: members of a chunk of a crowded key, documents of the sample that tells common shingles, how many of these are kept.
 CHUNK, SAMPLE, COMMON = 256, 10_000, 1 << 17
+#: Sets of rows are broadcast up to this number, else joined by shuffle.
+BROADCAST = 1_000_000
 _MEMBER = ["key", "node", "size", "place", "n", "first", "first_size", "first_place"]
 
 
@@ -165,8 +167,46 @@ def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _digests(words: int):
-    return lambda texts: [xxhash.xxh3_128_digest(shingle_hashes(t, words).tobytes(), SEED) for t in texts]
+def _marks(words: int):
+    """16 bytes of digest and a bit map of the set of every text: a power of two of bits, at least twice the shingles."""
+
+    def mark(text: str | None) -> bytes:
+        hashes = shingle_hashes(text, words)
+        bits = np.zeros(1 << max(6, (2 * len(hashes) - 1).bit_length()), dtype=np.uint8)
+        bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+        return xxhash.xxh3_128_digest(hashes.tobytes(), SEED) + np.packbits(bits, bitorder="little").tobytes()
+
+    return lambda texts: [mark(t) for t in texts]
+
+
+def _missing(one: np.ndarray, two: np.ndarray) -> int:
+    """Bits of ``one`` that ``two`` lacks: at most the shingles of the one set that the other lacks. Maps are folded to one size."""
+    size = min(len(one), len(two))
+    one, two = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (one, two))
+    return int(np.bitwise_count(one & ~two).sum())
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose bit maps allow the similarity; none that has it is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches):
+            kept = []
+            for a, b, n, m, x, y in zip(*part, strict=True):
+                one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                least = np.ceil((n + m) * (similarity / (1 + similarity)) - 1e-6)
+                if n - _missing(one, two) >= least and m - _missing(two, one) >= least:
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    first = maps.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
+    second = maps.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast up to BROADCAST rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
@@ -274,7 +314,7 @@ def _met(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have this Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,6 +331,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
                         kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    pairs = checkpointed(_possible(pairs, maps, similarity))
+    asked = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = texts.join(_small(asked), "node", "left_semi")
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -300,20 +343,25 @@ def _similar_rows(docs: DataFrame, id_col: str, text: str, words: int, similarit
     """The rows of docs with __row and __digest, and __digest, component_id and chosen (a row) of every class of rows with an id."""
     spark = docs.sparkSession
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = checkpointed(with_column(numbered, text, "__digest", BinaryType(), _digests(words)))
+    rows = checkpointed(with_column(numbered, text, "__mark", BinaryType(), _marks(words)).withColumn("__digest", F.substring("__mark", 1, 16)))
     least = F.min(F.struct(F.col(id_col).cast("bigint").alias("id"), F.col("__row").alias("node")))
     classes = checkpointed(rows.where(F.col(id_col).isNotNull()).groupBy("__digest").agg(least.alias("x")).select("__digest", "x.id", "x.node"))
-    texts = rows.select(F.col("__row").alias("node"), F.col(text).alias("text")).join(classes.select("node"), "node")
+    again = checkpointed(rows.select(F.col("__row").alias("node")).join(classes.select("node"), "node", "left_anti").select("node"))
+    single = rows.select(F.col("__row").alias("node"), F.col(text).alias("text"), F.col("__mark").alias("mark")).join(_small(again), "node", "left_anti")
+    texts = single.select("node", "text")
     common, counts = _common(texts, words, classes.count())
     keyed = texts.select("node", "text").mapInArrow(_prefixes(words, similarity, common, counts), "key bigint, node bigint, size bigint, place bigint")
     parts = shuffle_partitions(spark)
     shared = checkpointed(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, ", ".join(f"{c} bigint" for c in _MEMBER)))
 
+    sized = checkpointed(shared.groupBy("node").agg(F.first("size").alias("size")))
+    maps = single.select("node", F.expr("substring(mark, 17)").alias("bits")).join(_small(sized), "node")
+
     # first every member with the first of its key, so that the pairs inside groups of copies need not all be compared
     c = F.col
     near = _may_reach(similarity, c("size"), c("place"), c("first_size"), c("first_place"), F.least, F.ceil)
     stars = checkpointed(shared.where(near & (c("node") != c("first"))).select(c("first").alias("a"), c("node").alias("b")).distinct())
-    starred = checkpointed(_verified(stars, texts, words, similarity))
+    starred = checkpointed(_verified(stars, texts, maps, words, similarity))
     rooted = connected(starred)
 
     # then all pairs of different roots; crowded keys by blocks of two chunks
@@ -324,7 +372,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text: str, words: int, similarit
     blocks = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "size", "place")
     grouped = blocks.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
     pairs = grouped.mapInArrow(_met(similarity), "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti")
-    edges = starred.unionByName(checkpointed(_verified(checkpointed(pairs), texts, words, similarity)))
+    edges = starred.unionByName(checkpointed(_verified(checkpointed(pairs), texts, maps, words, similarity)))
 
     named = classes.join(connected(edges), "node", "left").select("__digest", F.coalesce("root", "node").alias("root"), F.struct("id", "node").alias("x"))
     chosen = named.groupBy("root").agg(F.min("x").alias("x"))
@@ -336,7 +384,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
 
     Exact but for equal 64-bit hashes of different shingles. Of two such sets, each in one order of all shingles (rare
     ones first), the first n - ceil(similarity * n) + 1 shingles share one; these are the join keys. Every pair that
-    meets and whose sizes and places allow the similarity is held against the texts. No key is cut: a crowded one is
+    meets and whose sizes, places and bit maps allow the similarity is held against the texts. No key is cut: a crowded one is
     compared by all blocks of two chunks of CHUNK members. Equal sets collapse first, and pairs already in one component
     are not compared again. Rows without an id are left out.
     """
