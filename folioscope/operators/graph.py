@@ -54,3 +54,11 @@ def components_by_keys(items: DataFrame, item: str, keys: list[str]) -> DataFram
     least = held.groupBy("key").agg(F.min("b").alias("a"))
     roots = connected(held.join(least, "key").select("a", "b"))
     return items.select(item).distinct().join(roots, F.col(item) == F.col("node"), "left").select(item, F.coalesce("root", item).alias("root"))
+
+
+def components_by_pairs(held: DataFrame, item: str, key: str) -> DataFrame:
+    """item and root over all rows (item, key); an item may hold any number of keys. Null and blank keys link nothing."""
+    rows = held.select(F.col(item).alias("b"), F.col(key).alias("key"))
+    named = rows.where("trim(key) <> ''")
+    roots = connected(named.join(named.groupBy("key").agg(F.min("b").alias("a")), "key").select("a", "b"))
+    return rows.select(F.col("b").alias(item)).distinct().join(roots, F.col(item) == F.col("node"), "left").select(item, F.coalesce("root", item).alias("root"))

@@ -84,10 +84,20 @@ SELECT node AS item, min(root) AS root FROM reach GROUP BY node
 """)
 def g1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that share a customer or, in large first lines, a part."""
-    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 49").groupBy("l_orderkey").agg(F.concat(F.lit("p"), F.min("l_partkey").cast("string")).alias("part"))
-    orders = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    items = orders.select(F.col("o_orderkey").alias("item"), F.col("o_custkey").cast("string").alias("customer"), F.coalesce("part", F.lit("")).alias("part"))
-    return G.components_by_keys(items, "item", ["customer", "part"])
+    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 49")
+    return G.components_by_pairs(_customers_and_parts(table(spark, sf_dir, "orders"), first), "item", "key")
+
+
+def _customers_and_parts(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """All rows (item, key) of orders: their customer and every part of ``lines``."""
+    customers = orders.select(F.col("o_orderkey").alias("item"), F.col("o_custkey").cast("string").alias("key"))
+    return customers.unionByName(lines.select(F.col("l_orderkey").alias("item"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("key")))
+
+
+@query(None)
+def g1_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that share a customer or a part, by all lines; without SQL, whose recursion would not end in time."""
+    return G.components_by_pairs(_customers_and_parts(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")), "item", "key")
 
 
 @query("""

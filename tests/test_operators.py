@@ -298,3 +298,29 @@ def test_notation(spark):
     tags = N.pgn_tags(lit('[White "A"]\n[Black "B"]\n\n1. e4'))
     assert value(spark, tags) == {"White": "A", "Black": "B"}
     assert value(spark, N.pgn_text(tags, F.array(lit("e4"), lit("e5"), lit("Nf3")), lit("*"))).endswith("\n\n1. e4 e5 2. Nf3 *\n")
+
+
+def test_components_of_orders_with_several_parts(spark, tmp_path):
+    """Orders with two parts in first lines (the query of the slice) and in any lines (the whole table), by union-find."""
+    import random
+
+    from folioscope.plans import corpus
+
+    rnd = random.Random(4)
+    orders = [(i, i // 2) for i in range(60)]
+    lines = [(rnd.randrange(60), rnd.randrange(60), rnd.choice([1, 1, 2]), rnd.choice([10, 50])) for _ in range(70)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def roots(kept):
+        root = list(range(60))
+        held = [(o, c) for o, c in orders] + [(x[0], f"p{x[1]}") for x in kept]
+        for a, k in held:
+            for b, other in held:
+                if k == other and root[a] != root[b]:
+                    old, new = max(root[a], root[b]), min(root[a], root[b])
+                    root = [new if r == old else r for r in root]
+        return dict(enumerate(root))
+
+    for run, kept in ((corpus.g1_components, [x for x in lines if x[2] == 1 and x[3] > 49]), (corpus.g1_components_whole, lines)):
+        assert {r.item: r.root for r in run(spark, str(tmp_path)).collect()} == roots(kept)
