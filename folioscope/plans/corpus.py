@@ -96,7 +96,7 @@ def _customers_and_parts(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 @query(None)
 def g1_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that share a customer or a part, by all lines; without SQL, whose recursion would not end in time."""
+    """Orders that share a customer or a part, by all lines; without SQL, held against union-find in the tests."""
     return G.components_by_pairs(_customers_and_parts(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")), "item", "key")
 
 
