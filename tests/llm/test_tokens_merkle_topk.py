@@ -48,6 +48,26 @@ def test_word_table_equals_the_library(spark, docs):
     assert word_table.encode_documents(docs.limit(0), path).count() == 0
 
 
+def random_texts(count, seed):
+    """Texts over control characters, all white space, marks, letters of several scripts, with and without spaces."""
+    rnd = random.Random(seed)
+    chars = [*map(chr, range(0x20)), *" \u0085\xa0\u1680\u2003\u2028\u202f\u3000\u200b\ufeff\x7f", *"abcXYZ'std09.,!?-_<|>", *"éÅßΣσςİıﬁ中文ع", "\u0301", "\u0345", "🎉", "'ll", "n't", "<|endoftext|>"]
+    return ["".join(rnd.choices(chars, k=rnd.randint(0, 12))) for _ in range(count)]
+
+
+def test_word_table_equals_the_library_on_random_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a\x1cb", "\x1f", *random_texts(10_000, 5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    got = word_table.encode_documents(rows, path, block_chars=9_000).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == want, texts[r.doc_id]
+        assert r.decoded == tokenizer.decode(want, skip_special_tokens=False)
+
+
 @pytest.mark.parametrize("window", [packing.WINDOW, 2000])
 def test_packing_covers_every_id_without_padding(docs, window):
     path = public_tokenizers.path("byte_bpe_50k.json")
