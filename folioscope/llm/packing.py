@@ -17,6 +17,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
+import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -28,44 +31,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEQUENCE, END_ID, WINDOW = 1024, 0, 4_000_000
+#: Rows whose texts are encoded together.
+SLICE = 500
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: The split pattern of byte-level vocabularies (fixed value).
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def _byte_symbols() -> dict[str, int]:
-    """The printable stand-in of every byte in byte-level vocabularies: itself if printable, else from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+#: Distinct chunks a task remembers at a time.
+KNOWN = 600_000
+# White space as the split pattern of byte-level vocabularies sees it (fixed values, Unicode White_Space).
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: No token of such a vocabulary goes on from other characters to white space, so these chunks are encoded apart.
+_CHUNKS, _SPACED = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"), re.compile(f"[{_WHITE}]")
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text -> ids (uint32) as the tokenizers library gives them for this file, without special tokens added.
-
-    A byte-level vocabulary whose ids are the ranks of its merges is run by the faster rank-based library.
-    """
-    spec = json.loads(open(path, encoding="utf-8").read())
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-    ranked = all(model["vocab"].get(m) == 256 + i for i, m in enumerate(merges))
-    level = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
-    if ranked and level and spec.get("normalizer") is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-        import tiktoken
-
-        symbols = _byte_symbols()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(symbols[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
-        coding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: coding.encode_to_numpy(text, allowed_special="all")
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return tokenizer
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts -> ids (little-endian unsigned 32-bit) as the tokenizers library gives them, without special tokens added.
+
+    With a byte-level vocabulary every distinct chunk (white space and what follows it) is encoded once and
+    remembered, up to KNOWN chunks at a time; other files take whole texts.
+    """
+    tokenizer, spec = _tokenizer(path), json.loads(open(path, encoding="utf-8").read())
+    pre = spec.get("pre_tokenizer") or {}
+    byte_level = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+    apart = byte_level and spec.get("normalizer") is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or _SPACED.search(t["content"]) for t in spec["added_tokens"])
+    known: dict[str, bytes] = {}
+
+    def ids(chunks: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in tokenizer.encode_batch(chunks, add_special_tokens=False))]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if not apart:
+            return ids(texts)
+        if len(known) > KNOWN:
+            known.clear()
+        split = [_CHUNKS.findall(t) for t in texts]
+        new = list({c for chunks in split for c in chunks}.difference(known))
+        known.update(zip(new, ids(new), strict=True))
+        return [b"".join([known[c] for c in chunks]) for chunks in split]
+
+    return encode
 
 
 def assign(lengths: list[int], capacities: list[int], linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
@@ -75,7 +90,8 @@ def assign(lengths: list[int], capacities: list[int], linear: float = LINEAR, qu
     """
     waiting = [(-n, i, 0) for i, n in enumerate(lengths)]
     heapq.heapify(waiting)
-    full = [c for c in capacities if c == max(capacities, default=0)]
+    most = max(capacities, default=0)
+    full = [c for c in capacities if c == most]
     open_ = [(0.0, s) for s in range(len(full))]
     later = list(range(len(full), len(capacities)))
     left, pieces = list(capacities), []
@@ -115,6 +131,13 @@ def _window(docs: list[tuple[int | None, np.ndarray]], first: int, sequence: int
     return found, used + len(capacities)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
@@ -134,9 +157,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         first, held, size = TaskContext.get().partitionId() << 36, [], 0
-        for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((doc, np.append(encode(body or ""), np.uint32(end_id))))
+        end = np.array([end_id], dtype="<u4").tobytes()
+        for docs_, texts in _slices(batches):
+            for doc, ids in zip(docs_, encode(texts), strict=True):
+                held.append((doc, np.frombuffer(ids + end, dtype="<u4")))
                 size += len(held[-1][1])
                 if size >= window:
                     found, used = _window(held, first, sequence)

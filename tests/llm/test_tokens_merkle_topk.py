@@ -68,6 +68,20 @@ def test_word_table_equals_the_library_on_random_texts(spark):
         assert r.decoded == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_chunks_encode_as_whole_texts(monkeypatch):
+    """Every code point beside letters and between white space, all runs of white space, and random texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.encoder(path)
+    white = [chr(c) for c in (*range(9, 14), 32, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c} !{c}? 1{c}2 " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts += [f"x{a}{b}{c}y{a} z{b}\n" for a in white for b in ["", *white] for c in ("", " ", "\n")] + random_texts(10_000, 7)
+    monkeypatch.setattr(packing, "KNOWN", 50_000)
+    got = [np.frombuffer(b, dtype="<u4").tolist() for at in range(0, len(texts), 500) for b in encode(texts[at : at + 500])]
+    for text, own, want in zip(texts, got, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own == want.ids, text
+
+
 @pytest.mark.parametrize("window", [packing.WINDOW, 2000])
 def test_packing_covers_every_id_without_padding(docs, window):
     path = public_tokenizers.path("byte_bpe_50k.json")
