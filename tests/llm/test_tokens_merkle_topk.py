@@ -1,11 +1,14 @@
 import random
+import re
 from collections import defaultdict
+from difflib import SequenceMatcher
 from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -74,7 +77,7 @@ def test_chunks_encode_as_whole_texts(monkeypatch):
     tokenizer, encode = Tokenizer.from_file(path), packing.encoder(path)
     white = [chr(c) for c in (*range(9, 14), 32, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    texts = ["".join(f"a{c}b {c} !{c}? 1{c}2 " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts = ["".join(f"a{c}!{c} {c}1" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
     texts += [f"x{a}{b}{c}y{a} z{b}\n" for a in white for b in ["", *white] for c in ("", " ", "\n")] + random_texts(10_000, 7)
     monkeypatch.setattr(packing, "KNOWN", 50_000)
     got = [np.frombuffer(b, dtype="<u4").tolist() for at in range(0, len(texts), 500) for b in encode(texts[at : at + 500])]
@@ -118,7 +121,8 @@ def test_assign_takes_the_cheapest_open_sequence():
 
 
 def test_merkle_edited_and_next(spark, docs):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    hashed = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1])))
     got = merkle.fingerprints(docs).collect()
     want = []
     for (doc, text), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
@@ -144,10 +148,65 @@ def test_merkle_roots_and_edit_places(spark):
     assert sum(n.level == 0 for n in nodes) == 61 and sum(n.level == 2 for n in nodes) == 2
 
 
-def test_parts_of_ids_in_two_steps(spark):
-    bounds = [3, 5, 8, 13, 21, 34]
-    rows = spark.range(40).select("id", merkle._part(F.col("id"), bounds).alias("p")).collect()
-    assert all(r.p == sum(b <= r.id for b in bounds) for r in rows)
+def test_merkle_hot_ids_are_many_parts(spark):
+    """Equal ids, null ids and equal rows are dealt to several parts; each row still has its next."""
+    rows = [(None, f"no id {i % 7}") for i in range(300)] + [(5, "one text")] * 300 + [(5, f"text {i}") for i in range(300)] + [(i, f"own {i}") for i in range(6, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "text")
+    dealt = merkle.with_next(docs, part_bytes=300)
+    sizes = [r["count"] for r in dealt.where("not guest").groupBy("part").count().collect()]
+    assert max(sizes) < 200 and sum(sizes) == len(rows)
+    hashed = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1])))
+    want = sorted((d or 0, sha256(merkle.half_replaced(a, b).encode()).hexdigest()) for (d, a), (_, b) in zip(order, order[1:] + order[:1], strict=True))
+    got = merkle.fingerprints(docs, part_bytes=300).collect()
+    assert sorted((r.doc_id or 0, r.edited_sha256) for r in got) == want
+
+
+def words_in_common(a, b):
+    """Share of characters in words that both texts have in the same order."""
+    x, y = (re.findall(r"\S+\s?|\s", t) for t in (a, b))
+    blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+    return 2 * sum(len("".join(x[m.a : m.a + m.size])) for m in blocks) / (len(a) + len(b))
+
+
+def test_merkle_likeness_against_difflib():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnoprstuvwz", k=rnd.randint(2, 9)))
+    body = lambda n: "".join(word() + rnd.choice([" "] * 9 + ["\n", "\n\n"]) for _ in range(n))
+    for n in (4, 6, 10, 20, 50, 100, 300, 1000, 3000) * 4:
+        a, b = body(n), body(rnd.choice([n, n // 2 + 1, 2 * n]))
+        half = merkle.half_replaced(a, b)
+        cut = a.index(" ", len(a) // 3) if " " in a[len(a) // 3 :] else len(a) // 2
+        for other in (half, b, a[:cut] + " new words " + a[cut:], a[cut:], "first " + a, a + b):
+            near = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(other))
+            kept = 2 * (len(a) - len(a) // 2) / (len(a) + len(half)) if other == half else words_in_common(a, other)
+            assert near < 1 and abs(near - kept) <= 0.1 + (2 / n if n < 30 else 0), (n, near, kept, other[:40])
+            assert near == merkle.likeness(merkle.fingerprint(other), merkle.fingerprint(a))
+
+
+def test_merkle_edits_from_fingerprints(monkeypatch):
+    """Exact places in short texts; within a few leaves in long ones, whatever is read at a time."""
+    text = "It was a calm day.\nNothing happened, or so\nthey say."
+    other = text.replace("calm", "dull")
+    assert merkle.changed(merkle.fingerprint(text), merkle.fingerprint(other)) == ((9, 13), (9, 13))
+    assert merkle.changed(merkle.fingerprint(text), merkle.fingerprint(text)) is None
+    assert merkle.likeness(merkle.fingerprint(None), merkle.fingerprint("")) == 1.0 and merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("a")) == 0.0
+    rnd = random.Random(9)
+    long = "".join(rnd.choices("abcdefgh \n", k=60_000))
+    edited = long[:20_000] + "other" + long[20_100:]
+    (a, b), (c, d) = merkle.changed(merkle.fingerprint(long), merkle.fingerprint(edited))
+    wide = 8 * 60_000 // merkle.LEAVES
+    assert a == c and 20_000 - wide <= a <= 20_000 and 20_100 <= b <= 20_100 + wide and b - d == 95
+    whole = [merkle.fingerprint(t) for t in (text, long, "word " * 5000, "")]
+    monkeypatch.setattr(merkle, "STRETCH", 1000)
+    assert [merkle.fingerprint(t) for t in (text, long, "word " * 5000, "")] == whole
+
+
+def test_parts_of_rows_in_two_steps(spark):
+    bounds = [(3, 0, 0), (5, 0, 0), (8, -7, 2), (8, 5, 0), (21, 0, 0), (34, 0, 0)]
+    at = F.struct(F.col("id").alias("key"), F.lit(0).cast("bigint").alias("hash"), F.lit(0).cast("bigint").alias("row"))
+    rows = spark.range(40).select("id", merkle._part(at, bounds).alias("p")).collect()
+    assert all(r.p == sum(b <= (r.id, 0, 0) for b in bounds) for r in rows)
 
 
 def brute(vectors, k):
