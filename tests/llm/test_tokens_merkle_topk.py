@@ -215,7 +215,7 @@ def brute(vectors, k):
     for i, (query, _) in enumerate(vectors):
         if query is None or query % 50 or q[i] is None:
             continue
-        scores = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=False)), v) for j, (v, _) in enumerate(vectors) if v is not None and v != query and q[j] is not None)
+        scores = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=False)), v) for j, (v, _) in enumerate(vectors) if v is not None and j != i and q[j] is not None)
         out += [(query, r, v, -s) for r, (s, v) in enumerate(scores[:k], 1)]
     return sorted(out)
 
@@ -225,13 +225,28 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     centres = rnd.normal(size=(5, 40))
     vectors = [(i, (centres[i % 5] + rnd.normal(size=40) * 0.2).astype("f4").tolist()) for i in range(300)]
     vectors += [(300 + i, vectors[7][1]) for i in range(40)]
-    vectors += [(400, None), (450, [None] * 40), (451, [float("nan")] * 40), (452, [float("inf")] * 40), (None, vectors[0][1]), (500, [1.5, 2.0])]
+    vectors += [(400, None), (450, [None] * 40), (451, [float("nan")] * 40), (452, [float("inf")] * 40), (None, vectors[0][1]), (500, [1.5, 2.0]), (100, vectors[3][1]), (50, vectors[50][1]), (9, vectors[9][1]), (550, [])]
     df = spark.createDataFrame([(a, b, 1.0) for a, b in vectors], "vec_id long, embedding array<float>, score double")
     want = brute(vectors, 5)
-    for blocks in ((2048, 1 << 16), (3, 50)):
+    for queries, *blocks in ((1 << 14, 2048, 1 << 14), (1 << 14, 2048, 40), (0, 2048, 1 << 14), (0, 3, 50)):
+        monkeypatch.setattr(exact_topk, "QUERIES", queries)
         monkeypatch.setattr(exact_topk, "QUERY_BLOCK", blocks[0])
         monkeypatch.setattr(exact_topk, "VECTOR_BLOCK", blocks[1])
         assert sorted(map(tuple, exact_topk.top_k(df, F.col("id") % 50 == 0, 5).collect())) == want
     assert exact_topk.top_k(df.limit(0), F.col("id") % 50 == 0, 5).count() == 0
     few = exact_topk.top_k(df.where("vec_id in (0, 3)"), F.col("id") % 50 == 0, 5).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 3)]
+
+
+def test_topk_bounds_drop_candidates():
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(64, 16_000))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=0))
+    norms, ids = np.linalg.norm(x, axis=0), np.arange(16_000)
+    for i in range(5):
+        seen: list = []
+        cols, scores = exact_topk.best_of_block(x[:, i].copy(), x, norms, i, ids, 5, survivors=seen)
+        every = x[:, i] @ x
+        every[i] = -np.inf
+        assert scores.tolist() == np.sort(every)[::-1][:5].astype(int).tolist() and every[cols].astype(int).tolist() == scores.tolist()
+        assert seen[3] < 0.6 * 16_000 and seen[4] < 0.2 * 16_000 and seen[5] < 0.05 * 16_000
