@@ -41,9 +41,11 @@ _SLICE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: For sets of shingles: members of a chunk of a crowded key, documents of the sample that tells common shingles, how many of these are kept.
 CHUNK, SAMPLE, COMMON = 256, 10_000, 1 << 17
+#: Segments of 64 bits of the fingerprint that the members of a key are compared by.
+RING = 8
 #: Sets of rows are broadcast up to this number, else joined by shuffle.
 BROADCAST = 1_000_000
-_MEMBER = ["key", "node", "size", "place", "n", "first", "first_size", "first_place"]
+_MEMBER = ["key", "node", "size", "place", "n"]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -168,39 +170,58 @@ def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
 
 
 def _marks(words: int):
-    """16 bytes of digest and a bit map of the set of every text: a power of two of bits, at least twice the shingles."""
+    """16 bytes of digest and a fingerprint of the set of every text: a power of two of bits, at least twice the shingles.
+
+    A bit is the parity of the shingles that hash to it, so fingerprints differ in at most as many bits as sets in shingles.
+    """
 
     def mark(text: str | None) -> bytes:
         hashes = shingle_hashes(text, words)
-        bits = np.zeros(1 << max(6, (2 * len(hashes) - 1).bit_length()), dtype=np.uint8)
-        bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-        return xxhash.xxh3_128_digest(hashes.tobytes(), SEED) + np.packbits(bits, bitorder="little").tobytes()
+        size = 1 << max((64 * RING - 1).bit_length(), (2 * len(hashes) - 1).bit_length())
+        bits = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+        return xxhash.xxh3_128_digest(hashes.tobytes(), SEED) + np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
     return lambda texts: [mark(t) for t in texts]
 
 
-def _missing(one: np.ndarray, two: np.ndarray) -> int:
-    """Bits of ``one`` that ``two`` lacks: at most the shingles of the one set that the other lacks. Maps are folded to one size."""
-    size = min(len(one), len(two))
-    one, two = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (one, two))
-    return int(np.bitwise_count(one & ~two).sum())
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The fingerprint of ``size`` segments: that of the lower bits of the hashes."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
-def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose bit maps allow the similarity; none that has it is lost."""
+def _ring(marks: DataFrame) -> DataFrame:
+    """node and ring: its fingerprint folded to RING segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = [_folded(np.frombuffer(m, dtype="<u8", offset=16), RING).tobytes() for m in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rings, pa.binary())], names=["node", "ring"])
+
+    return marks.select("node", "mark").mapInArrow(run, "node bigint, ring binary")
+
+
+def _room(size, other, similarity: float):
+    """How many shingles two sets of these sizes may differ in."""
+    return size + other - 2 * np.ceil((size + other) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole fingerprints allow the similarity; none that has it is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _sliced(batches):
             kept = []
             for a, b, n, m, x, y in zip(*part, strict=True):
-                one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                least = np.ceil((n + m) * (similarity / (1 + similarity)) - 1e-6)
-                if n - _missing(one, two) >= least and m - _missing(two, one) >= least:
+                one, two = np.frombuffer(x, dtype="<u8", offset=16), np.frombuffer(y, dtype="<u8", offset=16)
+                size = min(len(one), len(two))
+                if np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum() <= _room(n, m, similarity):
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    first = maps.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
-    second = maps.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
+    asked = _small(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    marks = marks.join(asked, "node", "left_semi")
+    first = marks.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("mark").alias("x"))
+    second = marks.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("mark").alias("y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -276,28 +297,60 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[tup
         yield ended(rest)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys with several members, with their number and the first member."""
-    for (key, node, size, place), end in _whole_groups(batches, 1):
-        first = np.searchsorted(end, end)
-        own = np.flatnonzero(end - first > 1)
-        at = first[own]
-        columns = [key[own], node[own], size[own], place[own], (end - first)[own], node[at], size[at], place[at]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_MEMBER)
+def _shared(similarity: float):
+    """Rows of keys with several members, with their number; rows of small groups only with a member of possible sizes and places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, node, size, place), end in _whole_groups(batches, 1):
+            number = end - np.searchsorted(end, end)
+            own = number > CHUNK
+            at, step = np.flatnonzero((number > 1) & ~own), 0
+            while len(at):
+                step += 1
+                at = at[at + step < end[at]]
+                good = at[_may_reach(similarity, size[at], place[at], size[at + step], place[at + step])]
+                own[good] = own[good + step] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (key, node, size, place, number)], names=_MEMBER)
+
+    return run
 
 
-def _may_reach(similarity: float, size, place, other_size, other_place, least, ceil):
+def _may_reach(similarity: float, size, place, other_size, other_place):
     """Whether texts of these sizes that share the shingles at these places of their orders can be alike enough."""
-    overlap = least(place, other_place) + 1 + least(size - place, other_size - other_place) - 1
-    return overlap >= ceil((size + other_size) * (similarity / (1 + similarity)) - 1e-6)
+    overlap = np.minimum(place, other_place) + 1 + np.minimum(size - place, other_size - other_place) - 1
+    return overlap >= np.ceil((size + other_size) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _spanning(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a forest that joins what all edges join; edges by number of their first node, then step."""
+    first = int(min(one.min(initial=0), two.min(initial=0)))
+    root = list(range(int(max(one.max(initial=0), two.max(initial=0))) - first + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip((one - first).tolist(), (two - first).tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
 
 
 def _met(similarity: float):
-    """Pairs (a < b) of different roots inside every block of a key that can be alike enough."""
+    """Pairs (a < b) of different roots inside every block of a key that can be alike enough.
+
+    Sizes and places come first, then the fingerprints: cumulative differences around the ring of segments may not pass
+    the budget in proportion to the two sizes. A pair that passes it on the whole ring has a start from which every
+    chain keeps to its share, so the whole ring is tested at once. Of blocks that are marked ``forest`` only a spanning forest of these pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high, own, node, root, size, place), end in _whole_groups(batches, 3):
-            at, step, found = np.arange(len(node)), 0, []
+        for (key, low, high, own, node, root, size, place, forest, *ring), end in _whole_groups(batches, 3):
+            at, step, ones, twos = np.arange(len(node)), 0, [], []
             while True:
                 step += 1
                 at = at[at + step < end[at]]
@@ -305,16 +358,37 @@ def _met(similarity: float):
                     break
                 to = at + step
                 good = (root[at] != root[to]) & ((low[at] == high[at]) | (own[at] != own[to]))
-                good &= _may_reach(similarity, size[at], place[at], size[to], place[to], np.minimum, np.ceil)
-                found.append(np.stack([np.minimum(node[at[good]], node[to[good]]), np.maximum(node[at[good]], node[to[good]])], axis=1))
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+                good &= _may_reach(similarity, size[at], place[at], size[to], place[to])
+                x, y = at[good], to[good]
+                apart = sum(np.bitwise_count((r[x] ^ r[y]).view(np.uint64)).astype(np.int64) for r in ring)
+                near = apart <= _room(size[x], size[y], similarity)
+                ones.append(x[near])
+                twos.append(y[near])
+            if not ones:
+                continue
+            one, two = np.concatenate(ones), np.concatenate(twos)
+            if forest.any():
+                order = np.argsort(one, kind="stable")
+                one, two = one[order], two[order]
+                crowded = forest[one] > 0
+                kept = np.concatenate([np.flatnonzero(~crowded), np.flatnonzero(crowded)[_spanning(one[crowded], two[crowded])]])
+                one, two = one[kept], two[kept]
+            pairs = np.unique(np.stack([np.minimum(node[one], node[two]), np.maximum(node[one], node[two])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, words: int, similarity: float) -> DataFrame:
+def _pairs(blocks: DataFrame, rings: DataFrame, parts: int, similarity: float) -> DataFrame:
+    """Pairs of rows key, low, high, own, node, root, size, place, forest that can be alike enough."""
+    words = [F.conv(F.hex(F.substring("ring", 8 * k + 1, 8)), 16, -10).cast("bigint").alias(f"ring{k}") for k in range(RING)]
+    names = ["key", "low", "high", "own", "node", "root", "size", "place", "forest"]
+    met = blocks.join(rings, "node").select(*(F.col(n).cast("bigint") for n in names), *words)
+    dealt = met.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    return dealt.mapInArrow(_met(similarity), "a bigint, b bigint").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have this Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +405,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, words: int, s
                         kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    pairs = checkpointed(_possible(pairs, maps, similarity))
+    pairs = checkpointed(_possible(pairs, marks, similarity))
     asked = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = texts.join(_small(asked), "node", "left_semi")
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
@@ -352,27 +426,27 @@ def _similar_rows(docs: DataFrame, id_col: str, text: str, words: int, similarit
     common, counts = _common(texts, words, classes.count())
     keyed = texts.select("node", "text").mapInArrow(_prefixes(words, similarity, common, counts), "key bigint, node bigint, size bigint, place bigint")
     parts = shuffle_partitions(spark)
-    shared = checkpointed(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, ", ".join(f"{c} bigint" for c in _MEMBER)))
-
+    shared = checkpointed(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared(similarity), ", ".join(f"{c} bigint" for c in _MEMBER)))
     sized = checkpointed(shared.groupBy("node").agg(F.first("size").alias("size")))
-    maps = single.select("node", F.expr("substring(mark, 17)").alias("bits")).join(_small(sized), "node")
+    marks = single.select("node", "mark").join(_small(sized), "node")
+    rings = checkpointed(_ring(marks))
 
-    # first every member with the first of its key, so that the pairs inside groups of copies need not all be compared
+    # Every key: all pairs of small groups, and of crowded ones a forest of the pairs inside each chunk
     c = F.col
-    near = _may_reach(similarity, c("size"), c("place"), c("first_size"), c("first_place"), F.least, F.ceil)
-    stars = checkpointed(shared.where(near & (c("node") != c("first"))).select(c("first").alias("a"), c("node").alias("b")).distinct())
-    starred = checkpointed(_verified(stars, texts, maps, words, similarity))
-    rooted = connected(starred)
-
-    # then all pairs of different roots; crowded keys by blocks of two chunks
     chunks = F.ceil(c("n") / CHUNK)
     own = F.pmod(F.xxhash64("node"), c("chunks"))
-    held = shared.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "place", chunks.alias("chunks"))
-    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), c("chunks") - 1)))
-    blocks = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "size", "place")
-    grouped = blocks.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = grouped.mapInArrow(_met(similarity), "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti")
-    edges = starred.unionByName(checkpointed(_verified(checkpointed(pairs), texts, maps, words, similarity)))
+    held = shared.withColumn("chunks", chunks).withColumn("own", own)
+    inside = held.select("key", c("own").alias("low"), c("own").alias("high"), "own", "node", c("node").alias("root"), "size", "place", (c("chunks") > 1).alias("forest"))
+    tried = checkpointed(_pairs(inside, rings, parts, similarity))
+    found = checkpointed(_verified(tried, texts, marks, words, similarity))
+
+    # Crowded keys that still hold several components: all pairs of different components, by blocks of two chunks
+    crowded = held.where("chunks > 1").join(connected(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    dealt = crowded.join(several, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), c("chunks") - 1)))
+    blocks = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "size", "place", F.lit(False).alias("forest"))
+    pairs = checkpointed(_pairs(blocks, rings, parts, similarity).join(tried, ["a", "b"], "left_anti"))
+    edges = found.unionByName(checkpointed(_verified(pairs, texts, marks, words, similarity)))
 
     named = classes.join(connected(edges), "node", "left").select("__digest", F.coalesce("root", "node").alias("root"), F.struct("id", "node").alias("x"))
     chosen = named.groupBy("root").agg(F.min("x").alias("x"))
@@ -383,10 +457,11 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
     """id and component_id of rows; texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
     Exact but for equal 64-bit hashes of different shingles. Of two such sets, each in one order of all shingles (rare
-    ones first), the first n - ceil(similarity * n) + 1 shingles share one; these are the join keys. Every pair that
-    meets and whose sizes, places and bit maps allow the similarity is held against the texts. No key is cut: a crowded one is
-    compared by all blocks of two chunks of CHUNK members. Equal sets collapse first, and pairs already in one component
-    are not compared again. Rows without an id are left out.
+    ones first), the first n - ceil(similarity * n) + 1 shingles share one; these are the join keys, as chains of a
+    fingerprint give none at this distance. Members of a key are compared in place by sizes, places and fingerprints whose
+    bits differ at most as much as the sets; pairs that these allow are held against the texts. No key is cut: a
+    crowded one is compared by chunks of CHUNK members first, of which a forest of pairs is tested, then, where several components are left,
+    by all blocks of two chunks. Equal sets collapse first. Rows without an id are left out.
     """
     rows, classes = _similar_rows(docs, id_col, text, words, similarity)
     held = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), "__digest")
