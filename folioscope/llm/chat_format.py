@@ -1,14 +1,15 @@
 """Chat formatting: a finite-state machine over roles and a declarative template, in DataFrame functions only.
 
 A template gives the marks and the role whose texts are under the loss mask. Inside a role or a text every
-backslash is doubled and every ``<|`` becomes ``<\\|``, so no control string can occur there and one regular
-expression takes the escapes back.
+backslash is doubled and a backslash goes between the first two characters of every mark, so no mark can occur there (with
+the default marks ``<|`` becomes ``<\\|``) and one regular expression takes the escapes back. Marks that could arise across the border of a mark and a text are refused: a mark has two characters
+at least and no backslash, begins no other, and holds the first character of any mark only at its start.
 
 Defined cases: a null text or role counts as empty; null turns come first; rows with the same turn are ordered
 by role, then text; repeated rows stay; a role that the machine has no move for sets ``valid`` to false and the
 conversation is formatted all the same; an empty table gives an empty result; further columns are ignored.
-A conversation's formatted text must fit one string (2 GB). Long conversations are put together from blocks of
-BLOCK turns, so no task collects more rows of one key than there are blocks.
+A conversation's formatted text must fit one string (2 GB), and so must the turns of one BLOCK of turn numbers (rows
+that repeat a turn are of its block, null turns are one block); long conversations are put together from these blocks.
 """
 
 from __future__ import annotations
@@ -38,9 +39,25 @@ class ChatTemplate:
     loss_roles: tuple[str, ...] = ("assistant",)
     moves: dict[tuple[str, str], str] = field(default_factory=lambda: dict(TURN_ORDER))
 
+    def __post_init__(self) -> None:
+        marks = self.marks()
+        firsts = {m[:1] for m in marks}
+        for mark in marks:
+            if "\\" in mark or len(mark) < 2 or firsts & set(mark[1:]):
+                raise ValueError(f"a mark needs two characters, no backslash, and the first of any mark only at its start: {mark!r}")
+            if any(m != mark and m.startswith(mark) for m in marks):
+                raise ValueError(f"a mark may not begin another: {mark!r}")
 
-def escaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    def marks(self) -> tuple[str, str, str]:
+        return self.before_role, self.before_text, self.after_text
+
+
+def escaped(text: Column, template: ChatTemplate) -> Column:
+    """``text`` without any mark of the template."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for lead in sorted({mark[:2] for mark in template.marks()}):
+        out = F.regexp_replace(out, f"{_quoted(lead[0])}(?={_quoted(lead[1])})", "$0\\\\")
+    return out
 
 
 def unescaped(text: Column) -> Column:
@@ -53,8 +70,8 @@ def segments(turns: DataFrame, template: ChatTemplate) -> DataFrame:
     return turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn(
         "segments",
         F.array(
-            F.struct(F.concat(F.lit(template.before_role), escaped(F.col("role")), F.lit(template.before_text)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escaped(F.col("text")).alias("text"), F.col("role").isin(*template.loss_roles).alias("loss")),
+            F.struct(F.concat(F.lit(template.before_role), escaped(F.col("role"), template), F.lit(template.before_text)).alias("text"), F.lit(False).alias("loss")),
+            F.struct(escaped(F.col("text"), template).alias("text"), F.col("role").isin(*template.loss_roles).alias("loss")),
             F.struct(F.lit(template.after_text).alias("text"), F.lit(False).alias("loss")),
         ),
     )

@@ -24,12 +24,38 @@ RAW = frozenset("script style title textarea noscript template iframe svg select
 _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
+class Node:
+    """An open element: its parent and its own tokens. Blocks share the nodes of their path, however deep it is."""
+
+    __slots__ = ("parent", "tokens", "number", "outer")
+
+    def __init__(self, parent: Node | None, tokens: tuple[str, ...]) -> None:
+        self.parent, self.tokens, self.number = parent, tokens, -1
+        #: the nearest element that is not inline: this one or one around it
+        self.outer = (parent.outer if parent else None) if tokens[0] in INLINE else self
+
+    def container(self) -> Node | None:
+        """The element around the nearest one that is not inline."""
+        around = self.outer.parent if self.outer else None
+        return around.outer if around else None
+
+
 @dataclass
 class Block:
+    """A text, its innermost open element and the share of characters in links."""
+
     text: str
-    path: tuple[str, ...]
+    node: Node | None
     linked: float
-    """Tokens of the open elements (names and parts of class, id and role) and the share of characters in links."""
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tokens of the open elements (names and parts of class, id and role), outermost first."""
+        found, at = [], self.node
+        while at is not None:
+            found.append(at.tokens)
+            at = at.parent
+        return tuple(t for tokens in reversed(found) for t in tokens)
 
 
 def _tokens(name: str, attributes: str) -> tuple[str, ...]:
@@ -40,33 +66,53 @@ def _tokens(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def _close(open_: list[tuple[str, tuple[str, ...]]], names: str, stop: tuple[str, ...]) -> None:
-    """Ends the nearest open element of these names, unless one of ``stop`` is nearer."""
-    for i in range(len(open_) - 1, -1, -1):
-        if open_[i][0] in stop:
-            return
-        if open_[i][0] in names.split():
-            del open_[i:]
-            return
+class _Open:
+    """The open elements, with the places of every name, so that each question takes constant time."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.outer: list[int] = []  # places of elements that are not inline
+
+    def last(self, *names: str) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def add(self, name: str, tokens: tuple[str, ...]) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.outer.append(len(self.names))
+        self.nodes.append(Node(self.nodes[-1] if self.nodes else None, tokens))
+        self.names.append(name)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at this place and all inside it."""
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.nodes.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.outer.pop()
 
 
 def blocks(page: str | None) -> list[Block]:
+    """In time linear in the page, whatever is left open."""
     page = page or ""
     out: list[Block] = []
-    open_: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     parts: list[str] = []
-    path: tuple[str, ...] = ()
-    linked, at = 0, 0
+    node: Node | None = None
+    linked, at, final = 0, 0, page.rfind(">")
 
     def take(text: str) -> None:
-        nonlocal path, linked
+        nonlocal node, linked
         if not parts and not text.strip():
             return
         if not parts:
-            path = tuple(t for _, tokens in open_ for t in tokens)
+            node = open_.nodes[-1] if open_.nodes else None
         text = html.unescape(text)
         parts.append(text)
-        if any(name == "a" for name, _ in open_):
+        if open_.places.get("a"):
             linked += len(text)
 
     def flush() -> None:
@@ -74,14 +120,15 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, path, min(linked / len(text), 1.0)))
+                out.append(Block(text, node, min(linked / len(text), 1.0)))
             parts.clear()
         linked = 0
 
     while True:
-        mark = _MARK.search(page, at)
+        mark = _MARK.search(page, at) if at <= final else None
         if mark is None:
-            take(page[at:])
+            rest = page.find("<!--", at)
+            take(page[at:] if rest < 0 else page[at:rest])
             break
         if mark.start() > at:
             take(page[at : mark.start()])
@@ -96,12 +143,9 @@ def blocks(page: str | None) -> list[Block]:
         if name not in INLINE:
             flush()
         if end:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
-                if name in INLINE and open_[i][0] not in INLINE:
-                    break
+            place = open_.last(name)
+            if place >= 0 and (name not in INLINE or not open_.outer or place > open_.outer[-1]):
+                open_.cut(place)
             continue
         if name in RAW:
             if not attributes.endswith("/"):
@@ -109,14 +153,13 @@ def blocks(page: str | None) -> list[Block]:
                 at = close.start() if close else len(page)
             continue
         if name in _ENDS:
-            _close(open_, *_ENDS[name])
-        elif name not in INLINE:
-            i = len(open_) - 1
-            while i >= 0 and open_[i][0] in INLINE:
-                i -= 1
-            if i >= 0 and open_[i][0] == "p":
-                del open_[i:]
+            ended, stop = _ENDS[name]
+            place = open_.last(*ended.split())
+            if place > open_.last(*stop):
+                open_.cut(place)
+        elif name not in INLINE and open_.outer and open_.names[open_.outer[-1]] == "p":
+            open_.cut(open_.outer[-1])
         if name not in VOID and not (attributes.endswith("/") and name in INLINE):
-            open_.append((name, _tokens(name, attributes)))
+            open_.add(name, _tokens(name, attributes))
     flush()
     return out

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType
 
 from folioscope.llm.common import with_column
-from folioscope.llm.html_blocks import Block, blocks
-from folioscope.llm.html_pages import made_page
+from folioscope.llm.html_blocks import Block, Node, blocks
+from folioscope.llm.html_pages import LAYOUTS, made_page
 
-PATH_BITS, WORD_BITS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 13, 17, 12, 6, 6, 12
+PATH_BITS, WORD_BITS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 13, 17, 12, 6, 10, 12
 INPUT = PATH_DIM + WORD_DIM + MEASURES
-FIT_PAGES, CELLS, UNREAD, COMMON = 2400, 60_000, 0.3, 0.005
+FIT_PAGES, CELLS, UNREAD, COMMON, KNOWN_PATHS = 2400, 60_000, 0.35, 0.005, 8
 
 
 @lru_cache(maxsize=100_000)
@@ -34,8 +34,22 @@ def _hash(token: str, bits: int) -> int:
 
 
 def _measures(found: list[Block]) -> np.ndarray:
-    n = len(found)
-    rows = [(np.log1p(len(b.text)) / 8, b.linked, b.text[-1] in ".!?:;…", len(b.text) < 25, i / n, 1.0) for i, b in enumerate(found)]
+    """Length, links, closing mark, place; the share of the page's characters in the same container and in the one around it,
+    and whether the blocks before and after have the same container."""
+    n, total = len(found), sum(len(b.text) for b in found) or 1
+    inner = [b.node.container() if b.node else None for b in found]
+    outer = [c.container() if c else None for c in inner]
+    held: dict = {}
+    for b, i, o in zip(found, inner, outer, strict=True):
+        for key in ((0, i), (1, o)):
+            held[key] = held.get(key, 0) + len(b.text)
+    rows = [
+        (
+            np.log1p(len(b.text)) / 8, b.linked, b.text[-1] in ".!?:;…", len(b.text) < 25, k / n, 1.0,
+            held[0, inner[k]] / total, held[1, outer[k]] / total, k > 0 and inner[k] is inner[k - 1], k + 1 < n and inner[k] is inner[k + 1],
+        )
+        for k, b in enumerate(found)
+    ]
     return np.array(rows, dtype=np.float32).reshape(n, MEASURES)
 
 
@@ -49,17 +63,47 @@ class Labeller:
     w: dict[str, np.ndarray]
 
     def inputs(self, pages: list[list[Block]], keep: dict | None = None) -> np.ndarray:
-        """One row per block of the pages, one after another."""
+        """One row per block of the pages, one after another. Fitting (with ``keep``) lists the tokens of every path."""
         found = [b for p in pages for b in p]
-        path_ids, path_of = _bags([[_hash(t, PATH_BITS) for t in b.path] or [_hash("", PATH_BITS)] for b in found])
         word_ids, word_of = _bags([[_hash(t, WORD_BITS) for t in b.text.lower().split()] for b in found])
-        path_n, word_n = np.sqrt(np.bincount(path_of)), np.bincount(word_of)
-        paths = np.add.reduceat(self.w["path"][path_ids], np.searchsorted(path_of, np.arange(len(found))), axis=0) / path_n[:, None]
+        word_n = np.bincount(word_of)
+        if keep is None:
+            paths = self.paths(found)
+        else:
+            path_ids, path_of = _bags([[_hash(t, PATH_BITS) for t in b.path] or [_hash("", PATH_BITS)] for b in found])
+            path_n = np.sqrt(np.bincount(path_of))
+            paths = np.add.reduceat(self.w["path"][path_ids], np.searchsorted(path_of, np.arange(len(found))), axis=0) / path_n[:, None]
         words = np.add.reduceat(self.w["word"][word_ids], np.searchsorted(word_of, np.arange(len(found))), axis=0) / word_n[:, None]
         if keep is not None:
             keep |= {"path": (path_ids, path_of, path_n), "word": (word_ids, word_of, word_n)}
         return np.concatenate([paths, words, np.concatenate([_measures(p) for p in pages])], axis=1).astype(np.float32)
 
+    def paths(self, found: list[Block]) -> np.ndarray:
+        """The path vectors of blocks: sums along the shared nodes, each node added once."""
+        known: list[Node] = []
+        for b in found:
+            new, at = [], b.node
+            while at is not None and at.number < 0:
+                at.number = -2  # on the way
+                new.append(at)
+                at = at.parent
+            for node in reversed(new):
+                node.number = len(known)
+                known.append(node)
+        own, owner = _bags([[_hash(t, PATH_BITS) for t in n.tokens] for n in known]) if known else (np.zeros(0, np.int64),) * 2
+        sums = np.zeros((len(known) + 1, PATH_DIM))
+        np.add.at(sums, owner, self.w["path"][own])
+        sizes = [len(n.tokens) for n in known]
+        for k, node in enumerate(known):
+            if node.parent is not None:
+                sums[k] += sums[node.parent.number]
+                sizes[k] += sizes[node.parent.number]
+        sums[-1] = self.w["path"][_hash("", PATH_BITS)]  # text outside any element
+        at = np.array([len(known) if b.node is None else b.node.number for b in found], dtype=np.int64)
+        for node in known:
+            node.number = -1
+        return sums[at] / np.sqrt(np.array([*sizes, 1]))[at][:, None]
+
     def states(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """x (page, time, input) -> states (page, time, 2 * HIDDEN)."""
         pages, steps, _ = x.shape
@@ -150,24 +194,25 @@ def _gradients(net: Labeller, pages: list[list[Block]], y: list[np.ndarray], rng
     return g
 
 
-def fit(pages: int = FIT_PAGES, *, epochs: int = 8, batch: int = 40, rate: float = 0.01, seed: int = 3) -> Labeller:
-    """Adam on the logistic loss over ``pages`` made pages."""
+def fit(pages: int = FIT_PAGES, *, layouts: tuple[str, ...] = LAYOUTS, epochs: int = 8, batch: int = 40, rate: float = 0.01, seed: int = 3) -> Labeller:
+    """Adam on the logistic loss over ``pages`` made pages of these families of layouts."""
     rng = np.random.default_rng(seed)
     data = []
     for k in range(pages):
-        markup, main = made_page(seed * 1_000_000 + k)
+        markup, main = made_page(seed * 1_000_000 + k, layouts)
         found = blocks(markup)
         if found:
             data.append((found, np.array([b.text in main for b in found], dtype=np.float32)))
     w = {"path": rng.normal(0, 0.1, (1 << PATH_BITS, PATH_DIM)), "word": np.zeros((1 << WORD_BITS, WORD_DIM)), "out": rng.normal(0, 0.3, 2 * HIDDEN), "skip": rng.normal(0, 0.1, INPUT), "c": np.zeros(1)}
-    seen = np.unique([_hash(t, PATH_BITS) for found, _ in data for b in found for t in b.path])
+    pages_of_token = np.zeros(1 << PATH_BITS)
+    for found, _ in data:
+        pages_of_token[list({_hash(t, PATH_BITS) for b in found for t in b.path})] += 1
     pages_of_word = np.zeros(1 << WORD_BITS)
     for found, _ in data:
         pages_of_word[list({_hash(t, WORD_BITS) for b in found for t in b.text.lower().split()})] += 1
     common = (pages_of_word > COMMON * len(data))[:, None]  # rarer words keep a zero vector
-    unseen = np.ones(1 << PATH_BITS, bool)
-    unseen[seen] = False
-    w["path"][unseen] = 0
+    telling = (pages_of_token >= KNOWN_PATHS)[:, None]  # names that few pages share keep a zero vector, as unseen ones have
+    w["path"] *= telling
     for d in (0, 1):
         w[f"x{d}"], w[f"h{d}"], w[f"b{d}"] = rng.normal(0, 0.25, (INPUT, 4 * HIDDEN)), rng.normal(0, 0.25, (HIDDEN, 4 * HIDDEN)), np.zeros(4 * HIDDEN)
         w[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1.0
@@ -181,7 +226,7 @@ def fit(pages: int = FIT_PAGES, *, epochs: int = 8, batch: int = 40, rate: float
         for k in rng.permutation(len(groups)):
             t += 1
             for name, g in _gradients(net, [data[i][0] for i in groups[k]], [data[i][1] for i in groups[k]], rng).items():
-                g = g * common if name == "word" else g
+                g = g * common if name == "word" else g * telling if name == "path" else g
                 m, s = moments[name]
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)

@@ -15,7 +15,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` documents per label outside the held-out fold, in the order of a hash of the id."""
+    """(text, label) of at most ``rows`` documents per label outside the held-out fold, in the order of a hash of the id.
+
+    Of documents that repeat a labelled id the least text is taken, so what reaches the driver is bounded.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = F.xxhash64(F.col("doc_id"), F.lit(label))
     picked = None
@@ -23,7 +26,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int = SA
         some = known.where(F.col(label) == value).select("doc_id", F.lit(value).alias("label"), order.alias("order")).orderBy("order", "doc_id").limit(rows)
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = texts.select("order", "doc_id", "label", "text").collect()
+    found = texts.groupBy("order", "doc_id", "label").agg(F.min("text").alias("text")).collect()  # a repeated id counts once
     found.sort(key=lambda r: (r.order, r.doc_id, r.label, r.text))
     return [(r.text, r.label) for r in found]
 

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 
+import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -234,3 +235,20 @@ def test_one_per_similar_with_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(((r.doc_id, r.text) for r in simhash.one_per_similar(df).collect()), key=str)
     assert kept == sorted([(3, one), (5, two), (9, "x y"), (None, "x y")], key=str)
+
+
+@pytest.mark.parametrize("marks", [("[INST]", "{T}", "[/INST]\n"), ("$1", "$2", "$3\n"), (".*", "^-", "(?")])
+def test_chat_templates_of_other_marks(spark, marks):
+    """Texts made of the marks come back, whatever the marks; those that could arise at borders are refused."""
+    for bad in (("<<", "<|", "|>"), ("ab", "abc", "ad"), ("a", "b|", "c|"), ("a\\", "b|", "c|")):
+        with pytest.raises(ValueError):
+            chat_format.ChatTemplate(*bad)
+    template = chat_format.ChatTemplate(*marks)
+    bits = [*marks, *(m[:2] for m in marks), *(m[0] for m in marks), *(m[1:] for m in marks), "\\", " ", "x", "\n", "$1", "<|im_end|>"]
+    rnd = __import__("random").Random(3)
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 9))) for _ in range(120)]
+    rows = [(i, t, ("user", "assistant")[t], texts[2 * i + t]) for i in range(60) for t in (0, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat_format.read_back(chat_format.format_chats(df, template), template)
+    for r in back.collect():
+        assert r.roles == ["user", "assistant"] and r.texts == texts[2 * r.conv_id : 2 * r.conv_id + 2] and r.loss_text == texts[2 * r.conv_id + 1]

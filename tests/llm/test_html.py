@@ -26,6 +26,39 @@ def test_blocks_of_broken_markup():
     assert html_blocks.blocks("<div class='Side-bar x' id=y><a>l</a>ink</div>")[0].path == ("div", ".side", ".bar", ".x", ".y", "a")
 
 
+HAND = """<html><body><div class="menu"><a href=/>Home</a> <a href=/n>News</a></div><div class="content"><h1>The old harbour</h1>
+<p>The harbour was built in 1820 by the town and has been in use since.</p><figure><img src=h.png><figcaption>The harbour in spring</figcaption></figure>
+<p>It holds forty boats.</p><dl><dt>Depth</dt><dd>Four metres.</dd></dl><p>See <a href=/map>the map</a>.</p></div><div class="footer">All rights reserved</div></body></html>"""
+
+
+def test_figures_lists_and_linked_paragraphs_stay(net):
+    want = "The old harbour|The harbour was built in 1820 by the town and has been in use since.|The harbour in spring|It holds forty boats.|Depth|Four metres.|See the map."
+    assert net.main_texts([HAND])[0].split("\n") == want.split("|")
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<font>y" * 100_000, "</b><i>z" * 100_000, "<li>q</ul>" * 50_000, "<x" * 100_000])
+def test_unclosed_tags_take_linear_time(net, page):
+    import time
+
+    began = time.process_time()
+    found = html_blocks.blocks(page)
+    assert net.paths(found).shape == (len(found), html_extract.PATH_DIM)
+    assert time.process_time() - began < 20
+
+
+def test_layouts_not_seen(net):
+    """Fitted without opaque containers, measured on them: context and words carry most of it."""
+    other = html_extract.fit(800, layouts=("telling", "semantic", "bare"), epochs=4)
+    right = total = 0
+    for seed in range(88_000_000, 88_000_100):
+        markup, main = html_pages.made_page(seed, ("opaque",))
+        found = html_blocks.blocks(markup)
+        (p,) = other.probabilities([found])
+        right += sum((x >= 0.5) == (b.text in main) for b, x in zip(found, p, strict=True))
+        total += len(found)
+    assert right / total > 0.85
+
+
 def test_main_text(spark, net):
     rows = [(1, "u", PAGE, "clash"), (2, None, None, "clash"), (3, "u", "", "clash"), (None, "u", PAGE, "clash"), (4, "u", "<article>" + "<p>Some words here.</p>" * 5000 + "</article>", "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
