@@ -36,7 +36,7 @@ SLICE = 500
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Distinct chunks a task remembers at a time.
-KNOWN = 600_000
+KNOWN = 400_000
 # White space as the split pattern of byte-level vocabularies sees it (fixed values, Unicode White_Space).
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No token of such a vocabulary goes on from other characters to white space, so these chunks are encoded apart.
@@ -54,12 +54,11 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts -> ids (little-endian unsigned 32-bit) as the tokenizers library gives them, without special tokens added.
 
     With a byte-level vocabulary every distinct chunk (white space and what follows it) is encoded once and
-    remembered, up to KNOWN chunks at a time; other files take whole texts.
+    remembered by this encoder (one a task), up to KNOWN chunks at a time; other files take whole texts.
     """
     tokenizer, spec = _tokenizer(path), json.loads(open(path, encoding="utf-8").read())
     pre = spec.get("pre_tokenizer") or {}
