@@ -70,13 +70,29 @@ def suspects(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFr
 def suggestions(unknown: DataFrame, lexicon: DataFrame, n: int, word: str = "word", score: str = "freq") -> DataFrame:
     """The n best known words for each unknown one: distance up to max(1, length / 3), by (distance, -score, word).
 
-    Candidates share the initial and a length within that distance; the join is on (initial, length).
+    A word cut into one piece more than the distance allows keeps a piece unchanged, moved by the distance at most: pieces and places
+    are the join keys, so that no candidate is lost. Words shorter than that meet by length.
     """
-    limit = F.greatest(F.lit(1), F.floor(F.length(word) / 3).cast("int"))
-    asked = unknown.select(F.col(word).alias("word"), limit.alias("limit")).distinct()
-    bands = asked.withColumn("len", F.explode(F.sequence(F.length("word") - F.col("limit"), F.length("word") + F.col("limit")))).withColumn("initial", F.substring("word", 1, 1))
-    known = lexicon.select(F.col(word).alias("candidate"), F.col(score).alias("score"), F.length(word).alias("len"), F.substring(word, 1, 1).alias("initial"))
-    near = bands.join(known, ["initial", "len"]).withColumn("distance", F.levenshtein("word", "candidate")).where(F.col("distance") <= F.col("limit"))
+    length = F.length("word")
+    limit = F.greatest(F.lit(1), F.floor(length / 3).cast("int"))
+    asked = unknown.select(F.col(word).alias("word")).distinct().withColumn("limit", limit)
+    known = lexicon.select(F.col(word).alias("candidate"), F.col(score).alias("score"))
+    # piece p of k pieces starts after floor(p * length / k) letters
+    cut = lambda p: F.floor(p * length / (F.col("limit") + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("limit")), lambda p: F.struct(cut(p).alias("start"), F.substring(F.col("word"), cut(p) + 1, cut(p + 1) - cut(p)).alias("piece")))
+    cutup = asked.where(length > F.col("limit")).select("word", "limit", F.explode(pieces).alias("p")).select("word", "limit", "p.piece", F.explode(F.sequence(F.greatest(F.col("p.start") - F.col("limit"), F.lit(0)), F.col("p.start") + F.col("limit"))).alias("start"))
+    sizes = [r[0] for r in cutup.select(F.length("piece")).distinct().collect()]  # of pieces: a handful
+
+    def of_size(k: int) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.length("candidate") - k), lambda i: F.struct(F.substring(F.col("candidate"), i + 1, F.lit(k)).alias("piece"), i.alias("start")))
+        return F.when(F.length("candidate") >= k, cuts).otherwise(F.array().cast("array<struct<piece:string,start:int>>"))
+
+    places = F.flatten(F.array(*(of_size(k) for k in sizes or [1])))
+    spread = known.select("candidate", "score", F.explode(F.array_distinct(places)).alias("p")).select("candidate", "score", "p.piece", "p.start")
+    met = cutup.join(spread, ["piece", "start"]).where(F.abs(length - F.length("candidate")) <= F.col("limit")).select("word", "limit", "candidate", "score").distinct()
+    tiny = asked.where(length <= F.col("limit")).withColumn("len", F.explode(F.sequence(F.lit(0), length + F.col("limit"))))
+    met = met.unionByName(tiny.join(known.withColumn("len", F.length("candidate")), "len").select("word", "limit", "candidate", "score"))
+    near = met.withColumn("distance", F.levenshtein("word", "candidate")).where(F.col("distance") <= F.col("limit"))
     place = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.desc("score"), "candidate"))
     return near.withColumn("place", place).where(F.col("place") <= n).select("word", "place", "candidate", "distance")
 
@@ -96,11 +112,16 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def joined_hyphens(lines: DataFrame, lexicon: DataFrame, doc: str, pos: str = "pos", line: str = "line") -> DataFrame:
-    """Line ends that were hyphenated: doc, pos, word; letters on both sides and the joined word known."""
+    """Line ends that were hyphenated: doc, pos, word. The hyphen (any of HYPHENS) stands between letters and the joined word is known.
+
+    What is joined are the cores of the last word of a line and of the first of the next.
+    """
     after = F.lead(line).over(Window.partitionBy(doc).orderBy(pos))
-    left, right = F.regexp_extract(line, r"(\p{L}+)-\s*$", 1), F.regexp_extract(F.col("__next"), r"^\s*(\p{L}+)", 1)
-    word = F.lower(F.concat(left, right))
-    found = lines.withColumn("__next", after).where((left != "") & (right != "")).select(doc, pos, word.alias("word"))
+    last, first = F.regexp_extract(line, r"(\S+)\s*$", 1), F.regexp_extract(F.col("__next"), r"^\s*(\S+)", 1)
+    left = F.regexp_extract(last, rf"^(.*\p{{L}})[{T.HYPHENS}]+$", 1)
+    right = F.when(first.rlike(r"^\p{L}"), first)
+    word = F.lower(F.concat(T.core(left), T.core(right)))
+    found = lines.withColumn("__next", after).where((left != "") & right.isNotNull()).select(doc, pos, word.alias("word"))
     return found.join(lexicon.select("word").distinct(), "word", "left_semi").select(doc, pos, "word")
 
 
@@ -121,23 +142,60 @@ def split_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return cut.select("word", "at", "left", "right").distinct()
 
 
+#: Letters of the run by which masked words meet the lexicon.
+RUN = 3
+
+
 def masked_words(masked: DataFrame, lexicon: DataFrame, wildcard: str = "*") -> DataFrame:
-    """Words with unread characters (wildcards) that exactly one known word of their length fits; no anchor gives none."""
-    anchored = masked.where(F.col("mask").contains(wildcard) & F.col("mask").rlike(r"\p{L}"))
+    """Words with unread characters (wildcards) that exactly one known word of their length fits; no anchor gives none.
+
+    They meet by length and by the place and letters of the longest read run, up to RUN letters of it.
+    """
+    anchored = masked.where(F.col("mask").contains(wildcard) & F.col("mask").rlike(r"\p{L}")).select("mask").distinct()
+    runs = F.transform(F.sequence(F.lit(1), F.length("mask")), lambda i: F.struct(F.length(F.substring_index(F.substring(F.col("mask"), i, F.lit(RUN)), wildcard, 1)).alias("n"), (-i).alias("at")))
+    best = F.array_max(runs)
+    asked = anchored.withColumn("len", F.length("mask")).withColumn("at", -best["at"]).withColumn("run", F.substring(F.col("mask"), F.col("at"), best["n"]))
     known = lexicon.select("word", F.length("word").alias("len")).distinct()
-    pattern = F.concat(F.lit("^"), F.regexp_replace("mask", f"\\{wildcard}", "."), F.lit("$"))
-    met = anchored.withColumn("len", F.length("mask")).join(known, "len").where(F.regexp(F.col("word"), pattern))
-    return met.groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.first("word").alias("word")).where("n = 1").select("mask", "word")
+    some = known.select("word", "len", F.explode(F.sequence(F.lit(1), F.greatest("len", F.lit(1)))).alias("at")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(RUN)))).where("at + n - 1 <= len")
+    met = asked.join(some.withColumn("run", F.substring(F.col("word"), F.col("at"), F.col("n"))), ["len", "at", "run"])
+    letters = lambda c: F.split(c, "")
+    fits = F.forall(F.zip_with(letters("mask"), letters("word"), lambda m, w: (m == wildcard) | (m == w)), lambda x: x)
+    return met.where(fits).groupBy("mask").agg(F.countDistinct("word").alias("n"), F.first("word").alias("word")).where("n = 1").select("mask", "word")
 
 
 def strip_affixes(words: DataFrame, roots: DataFrame, rules: DataFrame) -> DataFrame:
-    """Words that some suffix or prefix rule (kind, add, strip, flag) takes back to a root with that flag."""
-    by_end = words.select("word").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(12)))))
-    ends = by_end.withColumn("kind", F.explode(F.array(F.lit("suffix"), F.lit("prefix")))).withColumn("add", F.when(F.col("kind") == "suffix", F.expr("right(word, n)")).otherwise(F.expr("left(word, n)")))
-    met = ends.join(rules, ["kind", "add"])
-    root = F.when(F.col("kind") == "suffix", F.concat(F.expr("left(word, length(word) - n)"), "strip")).otherwise(F.concat("strip", F.expr("substring(word, n + 1)")))
-    found = met.select("word", root.alias("root"), "flag").join(roots, ["root", "flag"], "left_semi")
-    return found.select("word", "root", "flag").distinct()
+    """Words (lower case) that are roots, or that a suffix rule, a prefix rule or one of each takes back to a root: word, root, flag.
+
+    ``rules``: kind (suffix or prefix), flag, strip, add (may be empty for suffixes), and where given condition (a
+    pattern the root must end, or for prefixes begin, with) and crossed (whether the rule may meet one of the other
+    kind, true where not given). The root must have the flags of all rules used; flag is that of the outer rule.
+    """
+    for name, default in (("condition", F.lit(".")), ("crossed", F.lit(True))):
+        rules = rules if name in rules.columns else rules.withColumn(name, default)
+    rules = rules.select("kind", F.col("flag"), "strip", "add", F.coalesce("condition", F.lit(".")).alias("condition"), F.coalesce("crossed", F.lit(True)).alias("crossed"))
+    low = words.select(F.lower("word").alias("word")).where("word <> ''").distinct()
+    flags = roots.select(F.lower("root").alias("root"), "flag").distinct()
+    suffixes, prefixes = rules.where("kind = 'suffix'"), rules.where("kind = 'prefix' and add <> ''")
+    ends = [r[0] for r in suffixes.select(F.length("add")).distinct().collect()]  # lengths of affixes: a handful
+    starts = [r[0] for r in prefixes.select(F.length("add")).distinct().collect()]
+    listed = lambda sizes: F.explode(F.array(*(F.lit(k) for k in sizes)) if sizes else F.array().cast("array<int>"))
+
+    def unsuffixed(df: DataFrame, form: str, only_crossed: bool = False) -> DataFrame:
+        """df with root and the suffix rule's flag as inner."""
+        some = suffixes.where("crossed") if only_crossed else suffixes
+        cut = df.withColumn("n", listed(ends)).where(F.col("n") < F.length(form)).withColumn("add", F.expr(f"right({form}, n)"))
+        met = cut.join(some.select("add", F.col("strip").alias("s"), F.col("flag").alias("inner"), F.col("condition").alias("inner_condition")), "add")
+        met = met.withColumn("root", F.expr(f"concat(left({form}, length({form}) - n), s)")).where("root <> '' and (inner_condition = '.' or regexp(root, concat(inner_condition, '$')))")
+        return met.join(flags.withColumnRenamed("flag", "inner"), ["root", "inner"], "left_semi").drop("n", "add", "s", "inner_condition")
+
+    by_suffix = unsuffixed(low, "word").select("word", "root", F.col("inner").alias("flag"))
+    cut = low.withColumn("n", listed(starts)).where(F.col("n") < F.length("word")).withColumn("add", F.expr("left(word, n)"))
+    rest = cut.join(prefixes.drop("kind"), "add").withColumn("rest", F.expr("concat(strip, substring(word, n + 1))")).select("word", "rest", "flag", "condition", "crossed")
+    begins = F.expr("condition = '.' or regexp(root, concat('^', condition))")
+    by_prefix = rest.withColumn("root", F.col("rest")).where(begins).join(flags, ["root", "flag"], "left_semi").select("word", "root", "flag")
+    by_both = unsuffixed(rest.where("crossed"), "rest", only_crossed=True).where(begins).join(flags, ["root", "flag"], "left_semi").select("word", "root", "flag")
+    plain = low.join(flags.select(F.col("root").alias("word")).distinct(), "word", "left_semi").select("word", F.col("word").alias("root"), F.lit(None).cast("string").alias("flag"))
+    return by_suffix.unionByName(by_prefix).unionByName(by_both).unionByName(plain).distinct()
 
 
 def consensus(hypotheses: DataFrame, minimum: int) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,8 +72,8 @@ def boxes_summary(counts: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def match_boxes(reference: DataFrame, predicted: DataFrame, page: str = "page") -> DataFrame:
-    """Greedy one-to-one matching of a page's boxes: page, n_reference, n_predicted, matched, right.
+def match_boxes(reference: DataFrame, predicted: DataFrame, page: str = "page", *, fold_case: bool = False) -> DataFrame:
+    """Greedy one-to-one matching of a page's boxes: page, n_reference, n_predicted, matched, right (equal characters, normalised).
 
     Reference boxes in order ``pos`` each take the unused predicted box whose centre lies in them with the highest
     overlap ratio, ties to the first; boxes without coordinates are left out. A page must fit one task.
@@ -85,15 +87,19 @@ def match_boxes(reference: DataFrame, predicted: DataFrame, page: str = "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_matched(r or [], p or []) for r, p in zip(batch.column("ref").to_pylist(), batch.column("pred").to_pylist(), strict=True)]
+            out = [_matched(r or [], p or [], fold_case) for r, p in zip(batch.column("ref").to_pylist(), batch.column("pred").to_pylist(), strict=True)]
             counts = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([batch.column(page), *counts], names=[page, "n_reference", "n_predicted", "matched", "right"])
 
     return listed(reference, "ref").join(listed(predicted, "pred"), page, "full").select(page, "ref", "pred").mapInArrow(run, schema)
 
 
-def _matched(ref: list[dict], pred: list[dict]) -> tuple[int, int, int, int]:
-    same = lambda a, b: " ".join((a or "").split()) == " ".join((b or "").split())
+def _matched(ref: list[dict], pred: list[dict], fold_case: bool = False) -> tuple[int, int, int, int]:
+    def clean(char: str | None) -> str:
+        plain = " ".join(unicodedata.normalize("NFKC", char or "").split())
+        return plain.casefold() if fold_case else plain
+
+    same = lambda a, b: clean(a) == clean(b)
     used, matched, right = [False] * len(pred), 0, 0
     for r in ref:
         best, top = None, -1.0
@@ -126,27 +132,38 @@ def centre_in_box(reference: DataFrame, predicted: DataFrame, page: str = "page"
 _PAIR = ArrayType(StructType([StructField("ref", StringType()), StructField("pred", StringType())]))
 
 
+#: Where an alignment comes from: both advance, the reference alone, the prediction alone.
+_BOTH, _LOST, _ADDED = 0, 1, 2
+
+
 def align(reference: list[str], predicted: list[str]) -> list[tuple[str | None, str | None]]:
-    """Unit-cost alignment; from the end, a diagonal step is preferred, then a deletion, then an insertion."""
-    n, m = len(reference), len(predicted)
-    cost = [list(range(m + 1))]
+    """Unit-cost alignment; from the end, a diagonal step is preferred, then a deletion, then an insertion.
+
+    Costs are kept for one row at a time, steps as one byte a cell; equal ends are paired beforehand, as in any such alignment.
+    """
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(t, len(codes)) for t in tokens], dtype=np.int64) for tokens in (reference, predicted))
+    shorter = min(len(a), len(b))
+    unequal = np.flatnonzero(a[len(a) - shorter :] != b[len(b) - shorter :])
+    tail = shorter - (int(unequal[-1]) + 1 if len(unequal) else 0)
+    n, m = len(a) - tail, len(b) - tail
+    steps = np.full((n + 1, m + 1), _LOST, dtype=np.uint8)
+    steps[0, 1:] = _ADDED
+    places = np.arange(m + 1)
+    above = places.copy()
     for i in range(1, n + 1):
-        row, above = [i], cost[-1]
-        for j in range(1, m + 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (reference[i - 1] != predicted[j - 1])))
-        cost.append(row)
-    out, i, j = [], n, m
+        through = above[:-1] + (b[:m] != a[i - 1])
+        best = np.concatenate([[i], np.minimum(through, above[1:] + 1)])
+        row = np.minimum.accumulate(best - places) + places  # the cheapest run of insertions from any earlier place
+        steps[i, 1:] = np.where(row[1:] == through, _BOTH, np.where(row[1:] == above[1:] + 1, _LOST, _ADDED))
+        above = row
+    pairs: list[tuple[str | None, str | None]] = []
+    i, j = n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (reference[i - 1] != predicted[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((reference[i], predicted[j]))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            i -= 1
-            out.append((reference[i], None))
-        else:
-            j -= 1
-            out.append((None, predicted[j]))
-    return out[::-1]
+        step = steps[i, j]
+        i, j = i - (step != _ADDED), j - (step != _LOST)
+        pairs.append((None if step == _ADDED else reference[i], None if step == _LOST else predicted[j]))
+    return pairs[::-1] + list(zip(reference[n:], predicted[m:], strict=True))
 
 
 @F.pandas_udf(_PAIR)

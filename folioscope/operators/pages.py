@@ -99,21 +99,34 @@ def repaired_words(aligned: DataFrame, lexicon: DataFrame) -> DataFrame:
     return met.select(*aligned.columns, F.when(swap, F.col("pred")).otherwise(F.col("ref")).alias("word"), swap.alias("repaired"))
 
 
-#: Characters of the longest misread piece.
-LONGEST = 4
+#: At most so many confusions are undone in one word, as in the rule that is followed.
+AT_ONCE = 3
 
 
-def joined_letters(words: DataFrame, lexicon: DataFrame, confusions: DataFrame) -> DataFrame:
-    """Unknown words that exactly one confusion (read, meant: such as rn, m) turns into one known word."""
+def joined_letters(words: DataFrame, lexicon: DataFrame, confusions: DataFrame, *, shortest: int = 3, least: float | None = None, score: str = "freq") -> DataFrame:
+    """Unknown words that up to AT_ONCE confusions (read, meant: such as rn, m) at places apart turn into one known word, and one only.
+
+    Words and results have ``shortest`` letters at least; with ``least`` the known word must reach that ``score``.
+    """
+    good = lexicon if least is None else lexicon.where(F.col(score) >= least)
     known = lexicon.select("word").distinct()
-    unknown = words.select("word").distinct().join(known, "word", "left_anti")
-    # every piece of up to LONGEST characters meets the confusions by equality
-    places = unknown.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))))
+    aim = good.select(F.col("word").alias("to")).where(F.length("to") >= shortest).distinct()
+    unknown = words.select("word").distinct().where(F.length("word") >= shortest).join(known, "word", "left_anti")
+    sizes = [r[0] for r in confusions.select(F.length("read")).distinct().collect()]  # lengths of pieces: a handful
+    # every piece of such a length meets the confusions by equality
+    places = unknown.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).withColumn("n", F.explode(F.array(*(F.lit(k) for k in sizes)) if sizes else F.array().cast("array<int>")))
     pieces = places.where("i + n - 1 <= length(word)").withColumn("read", F.expr("substring(word, i, n)"))
-    tried = pieces.join(confusions, "read").select("word", "read", "meant", "i")
-    made = tried.select("word", F.expr("concat(left(word, i - 1), meant, substring(word, i + length(read)))").alias("to"))
-    good = made.join(known.select(F.col("word").alias("to")), "to", "left_semi").distinct()
-    return good.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.first("to").alias("to")).where("n = 1").select("word", "to")
+    tried = pieces.join(confusions.select("read", "meant").distinct(), "read").select("word", "i", "n", "meant")
+    # changes go from left to right: ``done`` is the new text before place ``at``
+    made = tried.select("word", F.expr("concat(left(word, i - 1), meant)").alias("done"), (F.col("i") + F.col("n")).alias("at"))
+    all_made = made
+    for _ in range(AT_ONCE - 1):
+        more = made.join(tried, "word").where("i >= at")
+        made = more.select("word", F.expr("concat(done, substring(word, at, i - at), meant)").alias("done"), (F.col("i") + F.col("n")).alias("at")).distinct()
+        all_made = all_made.unionByName(made)
+    to = all_made.select("word", F.expr("concat(done, substring(word, at))").alias("to")).distinct()
+    found = to.join(aim, "to", "left_semi")
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.first("to").alias("to")).where("n = 1").select("word", "to")
 
 
 def character_names(spark, query: str, limit: int = 50) -> DataFrame:

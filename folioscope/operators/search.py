@@ -44,6 +44,20 @@ def replaced(text: Column, search: Search) -> Column:
     return F.regexp_replace(text, F.lit(search.java()), F.lit(search.java_replacement()))
 
 
+def replaced_and_counted(text: Column, search: Search) -> Column:
+    """struct<text, n> of ``replaced`` and ``count``; one pass of the expression where it cannot match the empty string.
+
+    Every replacement leaves a private mark, which is counted and taken out again; texts that hold the mark are read twice.
+    """
+    mark = "\ue0ff"
+    if re.compile(search.pattern if search.regex else re.escape(search.pattern)).match(""):
+        return F.struct(replaced(text, search).alias("text"), count(text, search).alias("n"))
+    marked = F.regexp_replace(text, F.lit(search.java()), F.lit(search.java_replacement() + mark))
+    bare = F.replace(marked, F.lit(mark), F.lit(""))
+    plain = F.struct(replaced(text, search).alias("text"), count(text, search).alias("n"))
+    return F.when(F.contains(text, F.lit(mark)), plain).otherwise(F.struct(bare.alias("text"), (F.length(marked) - F.length(bare)).alias("n")))
+
+
 def occurrences(rows: DataFrame, key: str, text: str, search: Search, context: int = 30) -> DataFrame:
     """key, n, at (characters before), line, column, found, around for every non-empty match.
 

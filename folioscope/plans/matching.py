@@ -66,7 +66,10 @@ def j24_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LEXICON} SELECT doc_id, count(*) AS unknown FROM {WORDS} w WHERE NOT EXISTS (SELECT 1 FROM lex WHERE lex.word = w.word) GROUP BY doc_id")
 def j15_unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.WORD), F.lit(0))).alias("word"))
-    return M.unknown_words(words, lexicon(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("unknown"))
+    # each document's words once, with their number: the lexicon comes of the same rows, so texts are split once
+    counted = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    known = counted.groupBy("word").agg(F.sum("n").alias("freq")).where("freq >= 3")
+    return M.unknown_words(counted, known).groupBy("doc_id").agg(F.sum("n").alias("unknown"))
 
 
 @query(f"""
@@ -82,36 +85,56 @@ def j16_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT p_brand AS word, count(*) AS freq FROM part GROUP BY 1), n AS (SELECT DISTINCT 'Brand#' || (10 + s_suppkey % 90) AS word FROM supplier),
+WITH b AS (SELECT word, count(*) AS freq FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part) GROUP BY 1),
+n AS (SELECT 'x' || substr(word, 2) AS word FROM b UNION SELECT substr(word, 2) FROM b UNION SELECT word || 's' FROM b UNION SELECT substr(word, 1, length(word) - 2) FROM b UNION SELECT substr(word, 1, 1) FROM b),
 u AS (SELECT word FROM n WHERE word NOT IN (SELECT word FROM b)),
-c AS (SELECT u.word, b.word AS candidate, freq, levenshtein(u.word, b.word) AS d FROM u JOIN b ON u.word[1] = b.word[1] AND levenshtein(u.word, b.word) <= greatest(1, length(u.word) // 3))
+c AS (SELECT u.word, b.word AS candidate, freq, levenshtein(u.word, b.word) AS d FROM u JOIN b ON levenshtein(u.word, b.word) <= greatest(1, length(u.word) // 3))
 SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY d, freq DESC, candidate) AS INT) AS place, candidate, CAST(d AS INT) AS distance FROM c QUALIFY place <= 3
 """)
 def j18_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
-    asked = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), (10 + F.col("s_suppkey") % 90).cast("string")).alias("word")).distinct()
+    """Words of the part types as lexicon; asked for are words that lack or change their initial, go on or end early."""
+    known = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    w = F.col("word")
+    made = F.array(F.concat(F.lit("x"), F.substring(w, F.lit(2), F.length(w))), F.substring(w, F.lit(2), F.length(w)), F.concat(w, F.lit("s")), F.substring(w, F.lit(1), F.length(w) - 2), F.substring(w, 1, 1))
+    asked = known.select(F.explode(made).alias("word")).distinct()
     return M.suggestions(M.unknown_words(asked, known), known, 3)
 
 
 @query(f"""
-WITH {LEXICON}, u AS (SELECT DISTINCT word FROM {WORDS} w WHERE length(word) >= 4 AND NOT EXISTS (SELECT 1 FROM lex WHERE lex.word = w.word)),
-c AS (SELECT word, unnest(range(2, length(word) - 1)) AS "at" FROM u)
-SELECT word, CAST("at" AS INT) AS "at", substr(word, 1, "at") AS "left", substr(word, "at" + 1) AS "right" FROM c
-WHERE substr(word, 1, "at") IN (SELECT word FROM lex) AND substr(word, "at" + 1) IN (SELECT word FROM lex)
+WITH {LEXICON.replace('lex AS (', 'lex AS MATERIALIZED (')}, u AS MATERIALIZED (SELECT DISTINCT w.word FROM {WORDS} w LEFT JOIN lex ON lex.word = w.word WHERE length(w.word) >= 4 AND lex.word IS NULL),
+c AS MATERIALIZED (SELECT word, "at", substr(word, 1, "at") AS "left", substr(word, "at" + 1) AS "right" FROM (SELECT word, unnest(range(2, length(word) - 1)) AS "at" FROM u))
+SELECT c.word, CAST("at" AS INT) AS "at", "left", "right" FROM c JOIN lex a ON a.word = "left" JOIN lex b ON b.word = "right"
 """)
 def j20_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.WORD), F.lit(0))).alias("word")).distinct()
     return M.split_words(words, lexicon(spark, sf_dir))
 
 
+#: Lines of the documents broken after every fourth word; the last of these words, if long, in its middle with one of three hyphens.
+BROKEN = """(SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, line FROM (
+  SELECT doc_id, i, coalesce(substr(ws[4 * i], length(ws[4 * i]) // 2 + 1) || ' ', '') || array_to_string(ws[4 * i + 1:4 * i + 3], ' ')
+    || CASE WHEN length(ws[4 * i + 4]) > 0 THEN ' ' || substr(ws[4 * i + 4], 1, length(ws[4 * i + 4]) // 2) || (['-', '‐', '‑'])[i % 3 + 1] ELSE '' END AS line
+  FROM (SELECT doc_id, ws, unnest(range((len(ws) + 3) // 4)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS ws FROM documents))))"""
+
+
 @query(f"""
-WITH {LEXICON}, l AS (SELECT doc_id, CAST(pos AS INT) AS pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
-j AS (SELECT doc_id, pos, regexp_extract(line, '(\\p{{L}}+)-\\s*$', 1) AS a, regexp_extract(next, '^\\s*(\\p{{L}}+)', 1) AS b FROM l)
-SELECT doc_id, pos, lower(a || b) AS word FROM j WHERE a <> '' AND b <> '' AND lower(a || b) IN (SELECT word FROM lex)
+WITH {LEXICON}, l AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM {BROKEN}),
+j AS (SELECT doc_id, pos, regexp_extract(regexp_extract(line, '(\\S+)\\s*$', 1), '^(.*\\p{{L}})[{T.HYPHENS[1:]}-]+$', 1) AS a, regexp_extract(next, '^\\s*(\\S+)', 1) AS b FROM l),
+w AS (SELECT doc_id, pos, lower(regexp_extract(a, '^[^\\p{{L}}]*(.*?)[^\\p{{L}}]*$', 1) || regexp_extract(b, '^[^\\p{{L}}]*(.*?)[^\\p{{L}}]*$', 1)) AS word FROM j WHERE a <> '' AND regexp_matches(b, '^\\p{{L}}'))
+SELECT doc_id, pos, w.word FROM w JOIN lex ON lex.word = w.word
 """)
 def j19_joined_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """These tables have no hyphenated line ends; the operator's tests use rows of their own."""
-    return M.joined_hyphens(lines(spark, sf_dir), lexicon(spark, sf_dir), "doc_id")
+    """The words of the documents in lines of four, every long fourth word broken by one of the hyphens."""
+    ws = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("ws"))
+    word = lambda i: F.get("ws", i - 1)
+    half = lambda w: F.floor(F.length(w) / 2).cast("int")
+    i = F.col("i")
+    rest = F.coalesce(F.concat(F.substring(word(4 * i), half(word(4 * i)) + 1, F.length(word(4 * i))), F.lit(" ")), F.lit(""))
+    hyphen = F.element_at(F.array(*(F.lit(h) for h in T.HYPHENS)), (i % 3 + 1).cast("int"))
+    end = F.when(F.length(word(4 * i + 4)) > 0, F.concat(F.lit(" "), F.substring(word(4 * i + 4), F.lit(1), half(word(4 * i + 4))), hyphen)).otherwise(F.lit(""))
+    cut = ws.where(F.size("ws") > 0).select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") + 3) / 4).cast("int") - 1)).alias("i"))
+    broken = cut.select("doc_id", i.alias("pos"), F.concat(rest, F.array_join(F.slice("ws", 4 * i + 1, F.lit(3)), " "), end).alias("line"))
+    return M.joined_hyphens(broken, lexicon(spark, sf_dir), "doc_id")
 
 
 @query("""

@@ -9,19 +9,23 @@ from folioscope.functions import text as T
 from folioscope.operators import metrics as M
 from folioscope.plans.registry import query, table
 
-PAIRS = """(SELECT u.conv_id, u.turn, regexp_replace(u.text, '[^\\x00-\\x7F]', '', 'g') AS reference, regexp_replace(a.text, '[^\\x00-\\x7F]', '', 'g') AS prediction
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+# DuckDB's levenshtein counts bytes, so its texts have every character beyond ASCII replaced by a control character of its own.
+PAIRS = """(SELECT u.conv_id, u.turn, translate(u.text, f.chars, f.signs) AS reference, translate(a.text, f.chars, f.signs) AS prediction
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1,
+  (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS chars, chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(11) || chr(12) || chr(14) || chr(15) || chr(16) || chr(17)
+    || chr(18) || chr(19) || chr(20) || chr(21) || chr(22) || chr(23) || chr(24) || chr(25) || chr(26) || chr(27) || chr(28) || chr(29) || chr(30) || chr(31) || chr(127) AS signs
+   FROM (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'), '')) AS c FROM conversations) WHERE c <> '') f
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
 #: lineitem repeats line numbers within an order, so the place of a line is its rank.
 LINE_ITEMS = "(SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos FROM lineitem)"
 RATE = "CASE WHEN length(reference) > 0 THEN levenshtein(reference, prediction) / length(reference) WHEN length(prediction) = 0 THEN 0.0 ELSE 1.0 END"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts of each user turn (reference) and the answer to it (prediction), ASCII only as SQL counts bytes."""
+    """Whole texts of each user turn (reference) and the answer to it (prediction)."""
     turns = table(spark, sf_dir, "conversations")
-    ascii_ = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
-    asked = turns.where("role = 'user'").select("conv_id", "turn", ascii_("text").alias("reference"))
-    given = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), ascii_("text").alias("prediction"))
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))
+    given = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
     return asked.join(given, ["conv_id", "turn"])
 
 

@@ -142,15 +142,25 @@ def g11_spatial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.spatial_groups(points, "page", 1.0)
 
 
-@query("""
-WITH q AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'open' END AS decision, o_totalprice > 1000 AS readable FROM orders)
-SELECT decision, readable, count(*) AS n FROM q WHERE NOT (decision = 'confirmed' AND readable) GROUP BY ALL
-""")
+PROMOTION = """q AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'open' END AS decision, o_totalprice > 1000 AS readable FROM orders WHERE o_orderkey % 3 > 0),
+base AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 1)"""
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two orders of three in quarantine, the rest and some of those in the base already."""
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    held = orders.where(k % 3 > 0).select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("open").alias("decision"), (F.col("o_totalprice") > 1000).alias("readable"))
+    return held, orders.where((k % 3 == 0) | (k % 5 == 1)).select("o_orderkey")
+
+
+@query(f"WITH {PROMOTION} SELECT o_orderkey, CASE WHEN decision <> 'confirmed' THEN 'refused' ELSE 'unreadable' END AS reason FROM q WHERE NOT (decision = 'confirmed' AND readable)")
 def t9_not_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("open").alias("decision"), (F.col("o_totalprice") > 1000).alias("readable"))
-    base = q.select("o_orderkey").limit(0)
-    _, out = R.promoted(q, base, "o_orderkey")
-    return out.join(q, "o_orderkey").groupBy("decision", "readable").agg(F.count(F.lit(1)).alias("n"))
+    return R.promoted(*quarantine(spark, sf_dir), "o_orderkey")[1]
+
+
+@query(f"WITH {PROMOTION} SELECT o_orderkey FROM base UNION SELECT o_orderkey FROM q WHERE decision = 'confirmed' AND readable")
+def t9_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.promoted(*quarantine(spark, sf_dir), "o_orderkey")[0]
 
 
 @query("""

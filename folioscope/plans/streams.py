@@ -81,10 +81,13 @@ def t3_stale_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, coalesce(max(CAST(event_type = 'refund' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS skipped FROM events
+WITH e AS (SELECT event_id, user_id, ts, event_type IN ('view', 'click') AS ok FROM events),
+r AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM e),
+f AS (SELECT *, sum(CAST(NOT ok AS INT)) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 2 AS "off" FROM r)
+SELECT event_id, coalesce(bool_or("off") OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skipped FROM f
 """)
 def t7_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("o"), (F.col("event_type") != "refund").alias("ok"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("o"), F.col("event_type").isin("view", "click").alias("ok"))
     return J.breaker(e, "user_id", "o").select("event_id", "skipped")
 
 

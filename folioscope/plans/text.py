@@ -60,9 +60,9 @@ f AS (SELECT word, count(*) AS freq FROM w GROUP BY word)
 SELECT word, freq, round(least(1.0, 0.5 + ln(1 + freq) / ln(1 + (SELECT sum(freq) FROM f))), 9) AS score FROM f
 """)
 def a31_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = vocabulary(spark, sf_dir)
-    total = freq.agg(F.sum("freq")).first()[0] or 0
-    return freq.select("word", "freq", F.round(F.least(F.lit(1.0), 0.5 + F.log1p("freq") / F.log1p(F.lit(float(total)))), 9).alias("score"))
+    # the total needs no words: a sum of counts per document
+    total = table(spark, sf_dir, "documents").agg(F.sum(F.regexp_count("text", F.lit(T.WORD)))).first()[0] or 0
+    return vocabulary(spark, sf_dir).select("word", "freq", F.round(F.least(F.lit(1.0), 0.5 + F.log1p("freq") / F.log1p(F.lit(float(total)))), 9).alias("score"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +127,8 @@ def p5_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NOTATION = """(regexp_matches(w, '[♔♕♖♗♘♚♛♜♝♞♙♟]') OR regexp_matches(w, '^\\d{1,3}\\.(?:\\.\\.)?$') OR regexp_matches(w, '^[+\\-±∓⩱⩲=∞!?#□■△▼]+$')
-  OR regexp_matches(trim(w, ',;:.)("“”‘’' || chr(39)), '^(?:\\d{1,3}\\.(?:\\.\\.)?)?(?:[KQRBN♔♕♖♗♘♚♛♜♝♞♙♟]?[a-h]?[1-8]?x?[a-h][1-8](?:=[KQRBN♔♕♖♗♘♚♛♜♝♞♙♟])?|[O0]-[O0](?:-[O0])?)[+#]?[!?]{0,2}[±∓⩱⩲=∞]?$')
-  OR regexp_matches(trim(w, ',;:.)("“”‘’' || chr(39)), '^(?:1[-–—]0|0[-–—]1|½[-–—]½|1/2[-–—]1/2)$'))"""
+_BARE = "trim(w, '" + T.EDGE.replace("'", "''") + "')"
+NOTATION = "(" + " OR ".join([f"regexp_matches(w, '{p}')" for p in (T.FIGURE, T.MOVE_NUMBER, T.EVALUATION)] + [f"regexp_matches({_BARE}, '{p}')" for p in (T.STRICT_MOVE, T.RESULT)]) + ")"
 
 
 @query(f"""
@@ -207,22 +206,21 @@ FROM documents
 """)
 def f4_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     find = S.Search(r"(\w+)@(\w+)", regex=True, replacement=r"<\2:\1>")
-    return table(spark, sf_dir, "documents").select("doc_id", S.replaced(F.col("text"), find).alias("text"), S.count(F.col("text"), find).cast("bigint").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.replaced_and_counted(F.col("text"), find).alias("r")).select("doc_id", "r.text", F.col("r.n").cast("bigint").alias("n"))
 
 
 @query(f"""
 WITH l AS (SELECT doc_id, pos, line FROM {LINES}), s AS (
   SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l
-)
-SELECT doc_id, CAST(pos + 1 AS INT) AS line, CAST(instr(line, 'License') AS INT) AS "column", CAST(start + instr(line, 'License') - 1 AS INT) AS at FROM s WHERE contains(line, 'License') AND len(string_split(line, 'License')) = 2
+), p AS (SELECT doc_id, pos, start, string_split(line, 'License') AS parts FROM s WHERE contains(line, 'License')),
+o AS (SELECT doc_id, pos, start, parts, unnest(range(1, len(parts))) AS i FROM p),
+c AS (SELECT doc_id, pos, start, list_sum(list_transform(parts[1:i], lambda x: length(x))) + 7 * (i - 1) AS before FROM o)
+SELECT doc_id, CAST(pos + 1 AS INT) AS line, CAST(before + 1 AS INT) AS "column", CAST(start + before AS INT) AS at FROM c
 """)
 def f2_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of a word that stands once in its line."""
-    from pyspark.sql import Window
-
+    """All places of a word."""
     found = S.occurrences(table(spark, sf_dir, "documents"), "doc_id", "text", S.Search("License"))
-    once = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "line")) == 1
-    return found.withColumn("once", once).where("once").select("doc_id", F.col("line").cast("int").alias("line"), "column", "at")
+    return found.select("doc_id", F.col("line").cast("int").alias("line"), "column", "at")
 
 
 @query(r"""

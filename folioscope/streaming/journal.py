@@ -113,12 +113,40 @@ def append_to(path: str):
     return write
 
 
-def breaker(calls: DataFrame, by: str, order: str) -> DataFrame:
-    """Adds ``skipped``: calls of an engine after its first failure."""
+#: So many failures in a row switch an engine off (fixed value).
+FAILURES = 2
+
+
+def breaker(calls: DataFrame, by: str, order: str, failures: int = FAILURES) -> DataFrame:
+    """Adds ``skipped``: calls of an engine once ``failures`` calls in a row have failed; an answer starts the count again."""
     from pyspark.sql import Window
 
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("skipped", F.coalesce(F.max((~F.col("ok")).cast("int")).over(before) == 1, F.lit(False)))
+    whole = Window.partitionBy(by).orderBy(order)
+    answered = calls.withColumn("__run", F.sum(F.col("ok").cast("int")).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    row = Window.partitionBy(by, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = answered.withColumn("__off", F.sum((~F.col("ok")).cast("int")).over(row) >= failures)
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("skipped", F.coalesce(F.max("__off").over(before), F.lit(False))).drop("__run", "__off")
+
+
+def breaking(calls: DataFrame, by: str, order: str, failures: int = FAILURES) -> DataFrame:
+    """Streaming twin of ``breaker`` over (by, order, ok): the state of an engine is its failures in a row and whether it is off."""
+    kinds = dict(calls.dtypes)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        row, off = state.get if state.exists else (0, False)
+        calls_ = pd.concat(list(batches)).sort_values(order)
+        skipped = []
+        for ok in calls_["ok"]:
+            skipped.append(off)
+            if not off:
+                row = 0 if ok else row + 1
+                off = row >= failures
+        state.update((row, off))
+        yield pd.DataFrame({by: calls_[by], order: calls_[order], "ok": calls_["ok"], "skipped": skipped})
+
+    out = f"{by} {kinds[by]}, {order} {kinds[order]}, ok boolean, skipped boolean"
+    return calls.select(by, order, "ok").groupBy(by).applyInPandasWithState(run, out, "row int, off boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def workers(requested: int, maximum: int, limit_mb: float, available_mb: float, each_mb: float) -> int:

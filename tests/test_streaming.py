@@ -70,7 +70,7 @@ def test_append_sink_writes_a_batch_once(spark, tmp_path):
 
 
 def test_breaker_and_workers(spark):
-    rows = [("e", 1, True), ("e", 2, False), ("e", 3, True), ("f", 1, True)]
+    rows = [("e", i, ok) for i, ok in enumerate([True, False, True, False, False, True, False])] + [("f", 1, False), ("f", 2, True), ("f", 3, False)]
     out = {(r.engine, r.o): r.skipped for r in J.breaker(spark.createDataFrame(rows, "engine string, o int, ok boolean"), "engine", "o").collect()}
-    assert out == {("e", 1): False, ("e", 2): False, ("e", 3): True, ("f", 1): False}
+    assert out == {**{("e", i): i > 4 for i in range(7)}, **{("f", i): False for i in (1, 2, 3)}}
     assert [J.workers(8, 4, 1000, 900, 300), J.workers(8, 9, 100, 900, 300), J.workers(2, 9, 9000, 9000, 300)] == [3, 1, 2]
