@@ -46,6 +46,11 @@ def to_figures(text: Column, language: str = "en") -> Column:
     return F.array_join(F.transform(words, lambda w: F.when(w.rlike(move), F.translate(w, LETTERS[language], FIGURES)).otherwise(w)), " ")
 
 
+def substituted(text: Column, glyphs: dict[str, str]) -> Column:
+    """Characters of a font with an encoding of its own to those that it prints."""
+    return F.translate(text, "".join(glyphs), "".join(glyphs.values()))
+
+
 def marks(text: Column) -> Column:
     """Squares and arrows named in a text, each once."""
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(ARROW), F.lit(0)), F.regexp_extract_all(text, F.lit(SQUARE), F.lit(0))))

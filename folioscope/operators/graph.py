@@ -7,22 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to so many edges (2 MB) one task joins them; beyond, all tasks do, with the same result.
 ALONE = 1 << 17
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder in spark.checkpoint.dir; only a local master (tests) gets one of its own where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local master (tests) gets one of its own where that is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
         if not named and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -214,6 +214,11 @@ def compared(cases: DataFrame, case: str, mode: str, value: str, baseline: str,
     return both.select(case, F.col(baseline).alias("baseline"), F.col(candidate).alias("candidate"), (F.col(candidate) - F.col(baseline)).alias("delta"))
 
 
+def engine_means(cases: DataFrame, engine: str, review: str, *values: str) -> DataFrame:
+    """Mean values of every engine and how many of its cases need review."""
+    return cases.groupBy(engine).agg(*(F.avg(v).alias(v) for v in values), F.count_if(F.col(review)).alias("review_items"))
+
+
 def engine_pairs(measured: DataFrame, engine: str, *values: str) -> DataFrame:
     """Mean values of every engine and the differences of every pair of engines (names ascending)."""
     means = measured.groupBy(engine).agg(*(F.avg(v).alias(v) for v in values))

@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -149,6 +149,11 @@ def breaking(calls: DataFrame, by: str, order: str, failures: int = FAILURES) ->
     return calls.select(by, order, "ok").groupBy(by).applyInPandasWithState(run, out, "row int, off boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def allowed_workers(requested: Column, maximum: Column, limit_mb: Column, available_mb: Column, each_mb: Column) -> Column:
+    """How many workers the memory allows, one at least."""
+    return F.greatest(F.lit(1), F.least(requested, maximum, F.floor(F.least(limit_mb, available_mb) / each_mb))).cast("int")
+
+
 def workers(requested: int, maximum: int, limit_mb: float, available_mb: float, each_mb: float) -> int:
     """How many workers the memory allows, one at least."""
     return max(1, min(requested, maximum, int(min(limit_mb, available_mb) // each_mb)))
