@@ -19,6 +19,11 @@ def contradictory(rows: DataFrame, content: Column, label: str) -> DataFrame:
     return sets.groupBy(F.concat_ws(",", F.transform("labels", lambda x: x.cast("string"))).alias("labels")).agg(F.count(F.lit(1)).alias("contents"))
 
 
+def principal(families: Column, known: list[str], otherwise: str) -> Column:
+    """The first family of the fixed list, which is in the order of rarity, that a page has."""
+    return F.coalesce(F.get(F.array_intersect(F.array(*(F.lit(f) for f in known)), families), F.lit(0)), F.lit(otherwise))
+
+
 def coverage(pages: DataFrame, families: str, known: list[str], *by: str) -> DataFrame:
     """Pages per family of the fixed list, zeros kept; other families are left out."""
     groups = pages.select(*by).distinct() if by else pages.sparkSession.range(1).drop("id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import calibration, corpus, documents, matching, metrics, review, shapes, streams, text
+from folioscope.plans import calibration, corpus, documents, files, matching, metrics, review, shapes, streams, text
 from folioscope.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "calibration", "corpus", "documents", "matching", "metrics", "review", "shapes", "streams", "text"]
+__all__ = ["ORACLES", "QUERIES", "calibration", "corpus", "documents", "files", "matching", "metrics", "review", "shapes", "streams", "text"]

@@ -37,8 +37,13 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, array_to_string(families, ',') AS families, coalesce(list_filter(['table', 'loud', 'foreign', 'long', 'short'], lambda f: list_contains(families, f))[1], 'other') AS principal FROM {FAMILY_SQL}")
 def p14_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.get(F.array_intersect(F.array(*(F.lit(f) for f in FAMILIES)), "families"), F.lit(0))
-    return families(spark, sf_dir).select("doc_id", F.concat_ws(",", "families").alias("families"), F.coalesce(first, F.lit("other")).alias("principal"))
+    return families(spark, sf_dir).select("doc_id", F.concat_ws(",", "families").alias("families"), C.principal(F.col("families"), FAMILIES, "other").alias("principal"))
+
+
+@query(f"SELECT coalesce(list_filter(['table', 'loud', 'foreign', 'long', 'short'], lambda f: list_contains(families, f))[1], 'other') AS principal, count(*) AS pages FROM {FAMILY_SQL} GROUP BY 1")
+def p15_principal_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rarest family of every page, by the order of the fixed list, and how many pages have it."""
+    return families(spark, sf_dir).groupBy(C.principal(F.col("families"), FAMILIES, "other").alias("principal")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 GRID = f"g AS (SELECT source, unnest(['table', 'loud', 'foreign', 'long', 'short']) AS family FROM (SELECT DISTINCT source FROM documents)), n AS (SELECT source, family, count(*) AS n FROM (SELECT source, unnest(families) AS family FROM {FAMILY_SQL}) GROUP BY ALL)"

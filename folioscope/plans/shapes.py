@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import markup as K
 from folioscope.functions import notation as N
+from folioscope.functions import rules
 from folioscope.functions import text as T
 from folioscope.operators import corpus as C
 from folioscope.operators import documents as D
@@ -605,3 +606,46 @@ def t11_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.streaming.journal import allowed_workers
 
     return table(spark, sf_dir, "supplier").select("s_suppkey", allowed_workers(F.lit(8), F.lit(6), F.lit(4000.0), F.col("s_acctbal"), F.lit(700.0)).alias("workers"))
+
+
+#: Positions with their legality, the number of legal moves and the side that legality leaves to move, by hand.
+POSITIONS = [
+    (rules.START, True, 20, None), ("8/8/8/4k3/8/8/8/4K3 w - -", True, 5, None), ("8/8/8/4k3/8/8/8/4K3 b - -", True, 8, None), ("4k3/8/8/8/8/8/4r3/4K3 b - -", False, None, "w"),
+    ("4k3/4R3/8/8/8/8/8/4K3 b - -", True, 3, "b"), ("P3k3/8/8/8/8/8/8/4K3 w - -", False, None, None), ("no position", False, None, None), ("4k3/8/8/8/8/8/8/R3K2R w KQ -", True, 26, None),
+]
+_HELD = ", ".join(f"({i}, {str(ok).lower()}, {'NULL' if n is None else n}, {'NULL' if side is None else repr(side)})" for i, (_, ok, n, side) in enumerate(POSITIONS))
+
+
+@query(f"SELECT p_partkey, legal, CAST(moves AS INT) AS moves, side FROM part JOIN (VALUES {_HELD}) k(i, legal, moves, side) ON i = p_partkey % {len(POSITIONS)}")
+def f12_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legality, legal moves and the only possible side to move of positions; the SQL has them by hand."""
+    kinds = spark.createDataFrame([(i, f) for i, (f, *_) in enumerate(POSITIONS)], "i long, fen string")
+    judged = kinds.select("i", rules.is_legal("fen").alias("legal"), F.size(rules.moves_of("fen")).alias("moves"), rules.side_of_legality("fen").alias("side"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(POSITIONS)).alias("i"))
+    return rows.join(F.broadcast(judged), "i").select("p_partkey", "legal", F.when(F.col("legal"), F.col("moves")).alias("moves"), "side")
+
+
+READ = [["e4", "e5", "♘f3", "Nc6", "Bb5"], ["e4", "c5", "Nf8", "d6"], ["e4", "e5", "Zz9"], ["d4", "d5", "c4", "dxc4", "Nxc4"], ["e4", "e5", "Nf3", "Nc6", "Bc4", "Bc5", "0-0"]]
+_VERDICTS = ["exact,exact,exact,exact,exact", "exact,exact,repaired,exact", "exact,exact,illegal", "exact,exact,exact,exact,illegal", "exact,exact,exact,exact,exact,exact,exact"]
+
+
+@query(f"SELECT p_partkey, ({_VERDICTS})[CAST(p_partkey % {len(READ)} + 1 AS INT)] AS verdicts, ({['Bb5', 'd6', '', '', 'O-O']})[CAST(p_partkey % {len(READ)} + 1 AS INT)] AS last FROM part")
+def f12_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the moves of games as they were read; the SQL has them by hand."""
+    games = F.element_at(F.array(*(F.array(*(F.lit(t) for t in g)) for g in READ)), (F.col("p_partkey") % len(READ) + 1).cast("int"))
+    out = table(spark, sf_dir, "part").select("p_partkey", rules.replay(F.lit(rules.START), games).alias("r"))
+    return out.select("p_partkey", F.concat_ws(",", F.transform("r", lambda x: x["verdict"])).alias("verdicts"), F.element_at("r", -1)["move"].alias("last"))
+
+
+_GAME = [(1, True, "e4"), (1, False, "e5"), (2, True, "Nf3"), (2, True, "d4"), (2, False, "Nc6"), (4, True, "Bb5"), (3, True, "Ke3"), (3, True, "Bb5")]
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'main,main,main,variation,main,stop,stop,main' ELSE 'main,main,main,variation,deviation,stop,stop,stop' END AS fates FROM part
+""")
+def f13_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A game whose page also holds a variation, a missing number and an impossible move; every other copy has a foreign diagram before the fifth move."""
+    odd = F.col("p_partkey") % 2 == 1
+    fens = F.array(*(F.when(odd, F.lit(rules.START)).otherwise(F.lit(None).cast("string")) if i == 4 else F.lit(None).cast("string") for i in range(len(_GAME))))
+    fates = rules.assembly(F.array(*(F.lit(n) for n, _, _ in _GAME)), F.array(*(F.lit(w) for _, w, _ in _GAME)), F.array(*(F.lit(t) for _, _, t in _GAME)), fens)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(fates, ",").alias("fates"))

@@ -186,13 +186,18 @@ def _docx(data: bytes) -> Iterator[tuple[str, int | None, str]]:
 
 def epub_resources(spark: SparkSession, path: str) -> DataFrame:
     """path, name, spine (place or null), media, content of every entry of EPUB files."""
+    return epub_entries(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def epub_entries(files: DataFrame) -> DataFrame:
+    """``epub_resources`` of rows path, content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, data in zip(b["path"], b["content"], strict=True):
                 yield pd.DataFrame([(p, *e) for e in _epub(data)], columns=["path", "name", "spine", "media", "content"]).astype({"spine": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, spine int, media string, content binary")
+    return files.select("path", "content").mapInPandas(run, "path string, name string, spine int, media string, content binary")
 
 
 def epub_chapters(spark: SparkSession, path: str) -> DataFrame:
@@ -209,13 +214,23 @@ def epub_problems(resources: DataFrame) -> DataFrame:
 
 def docx_blocks(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, kind, level, text of the paragraphs of DOCX files."""
+    return docx_rows(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def docx_rows(files: DataFrame) -> DataFrame:
+    """``docx_blocks`` of rows path, content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, data in zip(b["path"], b["content"], strict=True):
                 yield pd.DataFrame([(p, i, *e) for i, e in enumerate(_docx(data))], columns=["path", "pos", "kind", "level", "text"]).astype({"level": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pos int, kind string, level int, text string")
+    return files.select("path", "content").mapInPandas(run, "path string, pos int, kind string, level int, text string")
+
+
+def trace(spark: SparkSession, path: str) -> DataFrame:
+    """stage, at and metrics (map of texts) of the runs traced in a folder."""
+    return spark.read.schema("stage string, at timestamp, metrics map<string,string>").json(path)
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
