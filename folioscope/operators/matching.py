@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from folioscope.functions import text as T
+from folioscope.operators.metrics import CELL, cells, in_cells
 
 
 def last_before(events: DataFrame, group: str, order: str, is_anchor: Column, value: Column) -> DataFrame:
@@ -35,23 +36,30 @@ def grid_neighbours(boxes: DataFrame, page: str, cell: float) -> DataFrame:
     return a.join(b, same).select(F.col(f"a.{page}").alias(page), F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).distinct()
 
 
-def smallest_containing(points: DataFrame, boxes: DataFrame, page: str) -> DataFrame:
-    """The box of least area that holds each point (point, x, y), ties to the first."""
-    p, b = points.alias("p"), boxes.alias("b")
-    inside = (F.col(f"p.{page}") == F.col(f"b.{page}")) & F.col("p.x").between(F.col("b.x1"), F.col("b.x2")) & F.col("p.y").between(F.col("b.y1"), F.col("b.y2"))
+def smallest_containing(points: DataFrame, boxes: DataFrame, page: str, cell: float = CELL) -> DataFrame:
+    """The box of least area that holds each point (point, x, y), ties to the first. They meet by page and cell."""
+    p = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).alias("p")
+    b = in_cells(boxes, cell).alias("b")
+    met = (F.col(f"p.{page}") == F.col(f"b.{page}")) & (F.col("p.cx") == F.col("b.cx")) & (F.col("p.cy") == F.col("b.cy"))
+    inside = F.col("p.x").between(F.col("b.x1"), F.col("b.x2")) & F.col("p.y").between(F.col("b.y1"), F.col("b.y2"))
     area = (F.col("b.x2") - F.col("b.x1")) * (F.col("b.y2") - F.col("b.y1"))
-    return p.join(b, inside).groupBy(F.col(f"p.{page}").alias(page), F.col("p.point").alias("point")).agg(F.min_by("b.pos", F.struct(area, "b.pos")).alias("box"))
+    return p.join(b, met & inside).groupBy(F.col(f"p.{page}").alias(page), F.col("p.point").alias("point")).agg(F.min_by("b.pos", F.struct(area, "b.pos")).alias("box"))
 
 
-def captions(boards: DataFrame, lines: DataFrame, page: str, reach: float = 0.35, overlap: float = 0.25) -> DataFrame:
-    """The nearest line below and above each board: within ``reach`` of its height, covering over ``overlap`` of its width."""
-    b, n = boards.alias("b"), lines.alias("n")
+def captions(boards: DataFrame, lines: DataFrame, page: str, reach: float = 0.35, overlap: float = 0.25, cell: float = CELL) -> DataFrame:
+    """The nearest line below and above each board: within ``reach`` of its height, covering over ``overlap`` of its width.
+
+    A board is listed in the cells of its zone, itself and its reach; a line meets it in the cells of the line's own.
+    """
     c = F.col
+    zone = boards.withColumn("room", reach * (c("y2") - c("y1"))).withColumn("cx", cells(c("x1"), c("x2"), cell)).withColumn("cy", cells(c("y1") - c("room"), c("y2") + c("room"), cell))
+    b, n = zone.alias("b"), in_cells(lines, cell).alias("n")
     height, width = c("b.y2") - c("b.y1"), c("b.x2") - c("b.x1")
     wide = F.least("b.x2", "n.x2") - F.greatest("b.x1", "n.x1") > overlap * width
     side = F.when(c("n.y1") >= c("b.y2"), "below").when(c("n.y2") <= c("b.y1"), "above")
     gap = F.when(side == "below", c("n.y1") - c("b.y2")).otherwise(c("b.y1") - c("n.y2"))
-    met = b.join(n, (c(f"b.{page}") == c(f"n.{page}")) & wide & side.isNotNull() & (gap <= reach * height))
+    same = (c(f"b.{page}") == c(f"n.{page}")) & (c("b.cx") == c("n.cx")) & (c("b.cy") == c("n.cy"))
+    met = b.join(n, same & wide & side.isNotNull() & (gap <= reach * height))
     return met.groupBy(c(f"b.{page}").alias(page), c("b.pos").alias("board"), side.alias("side")).agg(F.min_by("n.pos", F.struct(gap, "n.pos")).alias("line"))
 
 

@@ -118,15 +118,34 @@ def _matched(ref: list[dict], pred: list[dict], fold_case: bool = False) -> tupl
     return len(ref), len(pred), matched, right
 
 
-def centre_in_box(reference: DataFrame, predicted: DataFrame, page: str = "page") -> DataFrame:
-    """Pairs (page, ref, pred, iou) of boxes of one page where the predicted centre lies in the reference box."""
-    r, p = reference.alias("r"), predicted.alias("p")
+#: Side of the cells by which boxes and points of a page meet.
+CELL = 64.0
+
+
+def cells(low: Column, high: Column, cell: float = CELL) -> Column:
+    """The numbers of the cells from one coordinate to another, one row each."""
+    return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
+
+
+def in_cells(boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """Boxes (x1, y1, x2, y2), a row for every cell (cx, cy) they touch; boxes without an area or coordinates touch none."""
+    some = boxes.where("x1 <= x2 and y1 <= y2")
+    return some.withColumn("cx", cells(F.col("x1"), F.col("x2"), cell)).withColumn("cy", cells(F.col("y1"), F.col("y2"), cell))
+
+
+def centre_in_box(reference: DataFrame, predicted: DataFrame, page: str = "page", cell: float = CELL) -> DataFrame:
+    """Pairs (page, ref, pred, iou) of boxes of one page where the predicted centre lies in the reference box.
+
+    A centre lies in one cell and a reference box is listed in all of its own, so pairs meet by page and cell, once each.
+    """
     col = F.col
-    cx, cy = (col("p.x1") + col("p.x2")) / 2, (col("p.y1") + col("p.y2")) / 2
+    centred = predicted.withColumn("mx", (col("x1") + col("x2")) / 2).withColumn("my", (col("y1") + col("y2")) / 2)
+    r, p = in_cells(reference, cell).alias("r"), centred.withColumn("cx", F.floor(col("mx") / cell)).withColumn("cy", F.floor(col("my") / cell)).alias("p")
     cut = F.greatest(F.least("r.x2", "p.x2") - F.greatest("r.x1", "p.x1"), F.lit(0.0)) * F.greatest(F.least("r.y2", "p.y2") - F.greatest("r.y1", "p.y1"), F.lit(0.0))
     area = lambda s: (col(f"{s}.x2") - col(f"{s}.x1")) * (col(f"{s}.y2") - col(f"{s}.y1"))
-    inside = (col(f"r.{page}") == col(f"p.{page}")) & cx.between(col("r.x1"), col("r.x2")) & cy.between(col("r.y1"), col("r.y2"))
-    return r.join(p, inside).select(col(f"r.{page}").alias(page), col("r.pos").alias("ref"), col("p.pos").alias("pred"), F.coalesce(F.try_divide(cut, area("r") + area("p") - cut), F.lit(0.0)).alias("iou"))
+    met = (col(f"r.{page}") == col(f"p.{page}")) & (col("r.cx") == col("p.cx")) & (col("r.cy") == col("p.cy"))
+    inside = col("p.mx").between(col("r.x1"), col("r.x2")) & col("p.my").between(col("r.y1"), col("r.y2"))
+    return r.join(p, met & inside).select(col(f"r.{page}").alias(page), col("r.pos").alias("ref"), col("p.pos").alias("pred"), F.coalesce(F.try_divide(cut, area("r") + area("p") - cut), F.lit(0.0)).alias("iou"))
 
 
 _PAIR = ArrayType(StructType([StructField("ref", StringType()), StructField("pred", StringType())]))
