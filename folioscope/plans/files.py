@@ -15,6 +15,7 @@ from folioscope.operators import review as V
 from folioscope.operators.graph import shared_folder
 from folioscope.plans.registry import query, table
 from folioscope.plans.streams import log
+from folioscope.sources import pdf
 from folioscope.sources import readers as R
 from folioscope.sources import writers as W
 from folioscope.streaming import journal as J
@@ -201,6 +202,30 @@ def s19_docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(F.regexp_extract(first, r"(\d+)", 1).cast("bigint").alias("doc"), "kind", "level", "text")
 
 
+@query("""
+WITH l AS (SELECT c_nationkey AS doc, c_name || ' (' || c_mktsegment || ') \\ é' AS text, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer)
+SELECT CAST(pos // 50 + 1 AS INT) AS page, CAST(pos % 50 AS INT) AS pos, text FROM l
+""")
+def s20_s22_pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of every nation as lines of a paginated PDF, and the text layer read back."""
+    name = F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(") \\ é"))
+    lines = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("pos"), name.alias("text"))
+    return pdf.text_rows(container_rows(pdf.pdf_files(lines, "doc"))).select("page", "pos", "text")
+
+
+@query("SELECT CAST(l_linenumber AS INT) AS page, l_returnflag || l_linestatus AS text, round(CAST(l_quantity AS DOUBLE), 3) AS x, round(842 - (l_discount * 100 + 12), 3) AS y, 12.0::DOUBLE AS size FROM lineitem")
+def s22_searchable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words at their places as invisible text: every day of shipping is a file, every line number a page."""
+    top = F.col("l_discount") * 100
+    words = table(spark, sf_dir, "lineitem").select(
+        F.dayofmonth("l_shipdate").alias("doc"), F.col("l_linenumber").cast("int").alias("page"), F.col("l_orderkey").alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_quantity").alias("x1"), top.alias("y1"), (F.col("l_quantity") + 20).alias("x2"), (top + 12).alias("y2")
+    )
+    whole = words.select("doc", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("page")).distinct()  # a page may be empty of words
+    rows = whole.join(words, ["doc", "page"], "left")
+    out = pdf.text_rows(container_rows(pdf.searchable_files(rows, "doc")))
+    return out.where("text <> ''").select("page", "text", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("size", 3).alias("size"))
+
+
 MOVES = ["e4", "e5", "Nf3", "Nc6", "Bb5"]
 
 

@@ -108,3 +108,28 @@ def test_page_ranges(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.p for r in df.select("t", readers.page_numbers(F.col("t"), F.lit(10)).alias("p")).collect()} == cases
     assert spark.range(1).select(readers.page_ranges(F.array(*map(F.lit, [1, 2, 3, 5, 8, 9]))).alias("r")).first().r == "1-3,5,8-9"
+
+
+def test_pdf_syntax():
+    """Strings with escapes, arrays with steps, Unicode maps, compressed objects, inherited resources; broken and encrypted files."""
+    import zlib
+
+    from folioscope.sources.pdf import Pdf
+
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0003> <00E9> endbfchar 1 beginbfrange <0010> <0012> <0041> endbfrange"
+    content = b"BT /F1 10 Tf 5 700 Td [(Hel) 20 (lo) -300 (w\\157rld \\(x\\))] TJ 0 -12 TD (next) Tj T* (third) Tj /F2 8 Tf 1 0 0 1 50 60 Tm <000300100012> Tj ET"
+    packed = b"6 0 7 45 " + b"<< /Type /Pages /Kids [4 0 R] /Resources 7 0 R >>".ljust(45) + b"<< /Font << /F1 8 0 R /F2 9 0 R >> >>"
+    first = packed.index(b"<<")
+    packed = (b"6 0 7 %d " % (packed.index(b"<< /Font") - first)).ljust(first) + packed[first:]
+    stream = lambda body, more=b"": b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(body), more, body)
+    objects = {
+        1: b"<< /Type /Catalog /Pages 6 0 R >>", 4: b"<< /Type /Page /Contents [5 0 R] >>", 5: stream(zlib.compress(content), b"/Filter /FlateDecode"),
+        8: b"<< /Type /Font >>", 9: b"<< /Type /Font /ToUnicode 10 0 R >>", 10: stream(cmap), 11: stream(zlib.compress(packed), b"/Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % first),
+    }
+    data = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % o for o in objects.items()) + b"trailer << /Root 1 0 R >>"
+    pdf = Pdf(data)
+    (page,) = pdf.pages()
+    assert [(x, y, t) for x, y, _, t in pdf.texts(page)] == [(5, 700, "Hello world (x)"), (5, 688, "next"), (5, 676, "third"), (50, 60, "éAC")]
+    assert not list(Pdf(data.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 2 0 R")).pages())
+    for broken in (b"", b"%PDF-1.4 nothing", data[:200], data.replace(b"endstream", b"")):
+        assert all(isinstance(t, tuple) for p in Pdf(broken).pages() for t in Pdf(broken).texts(p))
