@@ -1,40 +1,49 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Words are runs of non-white-space: the tokenizer here (NFC, white space to one space, lower case, a split pattern
-that never crosses white space) treats each word alone. Spark splits the texts; consecutive rows form blocks, in
-which every word is a number (its place among the block's different words). The different words of all blocks are
-one table: each distinct word is encoded once, its ids meet their pieces in a join by id, and a join by word takes
-both to the blocks that ask for it, where they are put together by position. A very frequent word costs one row
-per block; texts do not move, only the numbers of their words.
+that never crosses white space) treats each word alone. Texts are grouped into blocks; a block asks for each of
+its different words once. The words of all blocks meet by their hash, where each distinct word is encoded once, and
+the answers go back to the blocks, where ids are put together by position and pieces found by id. Only distinct words of blocks and texts move, both compressed, as a row for every word of a block would
+take three times the room; no table of words is broadcast, so a very frequent word costs one entry per block.
 
 Defined cases: a null text counts as empty; an empty or blank text has no ids and decodes to the empty string;
 repeated rows and null ids give one row each; an empty table gives an empty result; further columns are ignored.
 The rows of a DataFrame must come in the same partitions whenever it is read (as from files or a checkpoint);
-a block whose answers do not fit raises an error. What is broadcast is the vocabulary, at most PIECES entries.
+a block whose answers do not fit raises an error.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored
+from folioscope.llm.common import shuffle_partitions
 
 BLOCK_CHARS = 12_000_000
+#: The words of about so many characters of text meet in one task, so its table stays bounded as the input grows.
+ROUTE_CHARS = 32_000_000
 #: A vocabulary of more entries is not broadcast but joined by shuffle.
 PIECES = 1 << 20
 #: White space as regular expressions of the tokenizer see it (fixed values, Unicode White_Space).
-WHITE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Characters at which str.split() cuts, though they belong to words here.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def words(text: str) -> list[str]:
+    """Runs of characters that are not white space."""
+    return [w for w in _WHITE.split(text) if w] if _SEPARATORS.search(text) else text.split()
 
 
 @lru_cache(maxsize=2)
@@ -65,124 +74,147 @@ def spelled(encoded: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     return whole.select(key, F.col("x.id").alias("ids"), F.array_join("x.piece", " ").alias("decoded"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[int, pa.Array, pa.Array]]:
-    """(block, ids, words of each row): consecutive rows of this partition of about block_chars bytes together."""
-    held: list[pa.RecordBatch] = []
-    size, number = 0, TaskContext.get().partitionId() << 32
+def _piece_table(path: str) -> list[str]:
+    """id -> piece, special tokens included."""
+    spec = json.loads(open(path, encoding="utf-8").read())
+    by_id = {i: piece for piece, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    if spec.get("decoder") is not None:
+        raise ValueError("this decoder joins pieces by one space; the tokenizer has a decoder of its own")
+    return [by_id.get(i, "") for i in range(max(by_id) + 1)]
+
+
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
-    def joined() -> tuple[int, pa.Array, pa.Array]:
-        whole = pa.Table.from_batches(held).combine_chunks()
-        return number, whole.column(0).combine_chunks(), whole.column(1).combine_chunks()
 
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[int, list, list[str]]]:
+    """(block, ids, texts): consecutive rows of this partition of about block_chars characters together."""
+    ids, texts, size, k = [], [], 0, 0
+    part = TaskContext.get().partitionId() << 32
     for batch in batches:
-        rows = batch.column(1)
-        values = rows.values.cast(pa.large_string()) if rows.values.offset else rows.values
-        offsets = np.frombuffer(values.buffers()[1], dtype=np.int64 if pa.types.is_large_string(values.type) else np.int32)
-        ends = np.asarray(rows.offsets).astype(np.int64)
-        bytes_to = offsets[ends] - offsets[ends[0]] + (ends - ends[0])  # of the first k rows, separators included
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(bytes_to, bytes_to[at] + block_chars - size))
-            if to > batch.num_rows:
-                held.append(batch.slice(at))
-                size += int(bytes_to[-1] - bytes_to[at])
-                break
-            to = max(to, at + 1)
-            held.append(batch.slice(at, to - at))
-            yield joined()
-            held, size, at, number = [], 0, to, number + 1
-    if held:
-        yield joined()
-
-
-def _numbered(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(different words, number of every word, words of every row) of rows of split text; the empty string is no word."""
-    flat = words.flatten()
-    real = pc.not_equal(flat, "")
-    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64)])
-    ends = np.asarray(words.offsets) - words.offsets[0].as_py()
-    coded = flat.filter(real).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype("<u4"), np.diff(before[ends])
-
-
-def _asked(block_chars: int):
-    """The different words of each block, in the order of their numbers."""
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(t or "")
+            size += len(texts[-1]) + 1
+            if size >= block_chars:
+                yield part + k, ids, texts
+                ids, texts, size, k = [], [], 0, k + 1
+    if ids:
+        yield part + k, ids, texts
+
+
+def _asked(routes: int, block_chars: int):
+    """Distinct words of each block, by route of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, words in _blocks(batches, block_chars):
-            different, _, _ = _numbered(words)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), lists], names=["block", "words"])
+        for block, _, texts in _blocks(batches, block_chars):
+            distinct: set[str] = set()
+            for t in texts:
+                distinct.update(words(t))
+            by_route: list[list[bytes]] = [[] for _ in range(routes)]
+            for w in sorted(distinct):
+                b = w.encode()
+                by_route[crc32(b) % routes].append(b)
+            used = [r for r in range(routes) if by_route[r]]
+            if used:
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "route": pa.array(used, pa.int32()),
+                        "block": pa.array([block] * len(used), pa.int64()),
+                        "asked": pa.array([_pack(b"\n".join(by_route[r])) for r in used], pa.binary()),
+                    }
+                )
 
     return run
 
 
-def _positions(block_chars: int):
-    """The rows of each block and the numbers of their words, compressed by byte planes."""
+def _answers(path: str):
+    """Encodes each distinct word of this partition once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, words in _blocks(batches, block_chars):
-            different, numbers, counts = _numbered(words)
-            planes = zstandard.ZstdCompressor(level=3).compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
-            columns = {
-                "block": pa.array([block], pa.int64()),
-                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                "counts": pa.array([counts], pa.list_(pa.int64())),
-                "different": pa.array([len(different)], pa.int64()),
-                "numbers": pa.array([planes], pa.binary()),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
+        requests = [(b, w) for batch in batches for b, w in zip(batch.column("block").to_pylist(), batch.column("asked").to_pylist(), strict=True)]
+        if not requests:
+            return
+        place: dict[bytes, int] = {}
+        for _, asked in requests:
+            for w in _unpack(asked).split(b"\n"):
+                place.setdefault(w, len(place))
+        table, tokenizer = list(place), _tokenizer(path)
+        ids: list[list[int]] = []
+        for at in range(0, len(table), 20_000):
+            ids += [e.ids for e in tokenizer.encode_batch([w.decode() for w in table[at : at + 20_000]], add_special_tokens=False)]
+        for block, asked in requests:
+            own = [ids[place[w]] for w in _unpack(asked).split(b"\n")]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([block], pa.int64()),
+                    "asked": pa.array([asked], pa.binary()),
+                    "lengths": pa.array([_pack(np.array([len(x) for x in own], dtype="<u4").tobytes())], pa.binary()),
+                    "ids": pa.array([_pack(np.array([i for x in own for i in x], dtype="<u4").tobytes())], pa.binary()),
+                }
+            )
 
     return run
 
 
-def _encoded(path: str):
+def _texts(block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        for batch in batches:
-            found = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=["word", "ids"])
+        for block, ids, texts in _blocks(batches, block_chars):
+            encoded = [t.encode() for t in texts]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([block], pa.int64()),
+                    "doc_ids": pa.array([ids], pa.list_(pa.int64())),
+                    "sizes": pa.array([[len(t) for t in encoded]], pa.list_(pa.int64())),
+                    "body": pa.array([_pack(b"".join(encoded))], pa.binary()),
+                }
+            )
 
     return run
 
 
-def _joined(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    """Puts the ids and pieces of every document of a block together by the position of its words."""
-    if blocks.num_rows != 1:
-        raise ValueError("the rows of the input came in other partitions when read again")
-    row = blocks.to_pylist()[0]
-    answers = answers.sort_by("number")
-    if not np.array_equal(answers.column("number").to_numpy(), np.arange(row["different"])):
-        raise ValueError("the rows of the input came in other partitions when read again")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["numbers"]), dtype=np.uint8)
-    numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-    ends = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
-
-    lists = answers.column("ids").combine_chunks()
-    lists = lists.fill_null(pa.scalar([], lists.type)) if lists.null_count else lists
-    lengths = pc.list_value_length(lists).to_numpy()[numbers] if len(numbers) else np.zeros(0, np.int64)
-    token_ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[ends]
-    at = pa.array(numbers, pa.uint32())
-    ids = lists.take(at).flatten().to_numpy().astype("<u4").tobytes() if len(numbers) else b""
-    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row["doc_ids"]), [None, pa.py_buffer(4 * token_ends), pa.py_buffer(ids)])
-
-    some = lengths > 0
-    texts = answers.column("decoded").combine_chunks().cast(pa.large_string()).take(at.filter(pa.array(some)))
-    word_ends = np.concatenate([[0], np.cumsum(some, dtype=np.int64)])[ends]
-    decoded = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(word_ends), texts), pa.scalar(" ", pa.large_string()))
-    return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": binary.cast(pa.binary()), "decoded": decoded.cast(pa.string())})
+def _joined(path: str):
+    """Puts the ids and pieces of every document together by the position of its words."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        pieces = _piece_table(path)
+        id_bytes: dict[str, bytes] = {}
+        decoded: dict[str, str] = {}
+        for asked, lengths, ids in zip(*(answers.column(c).to_pylist() for c in ("asked", "lengths", "ids")), strict=True):
+            flat, at = _unpack(ids), 0
+            numbers = np.frombuffer(flat, dtype="<u4").tolist()
+            for w, n in zip(_unpack(asked).decode().split("\n"), np.frombuffer(_unpack(lengths), dtype="<u4").tolist(), strict=True):
+                id_bytes[w] = flat[4 * at : 4 * (at + n)]
+                decoded[w] = " ".join([pieces[i] for i in numbers[at : at + n]])
+                at += n
+        doc_ids, encoded, texts_out = [], [], []
+        for block in texts.to_pylist():
+            body, at = _unpack(block["body"]), 0
+            doc_ids += block["doc_ids"]
+            for length in block["sizes"]:
+                split = words(body[at : at + length].decode())
+                at += length
+                encoded.append(b"".join([id_bytes[w] for w in split]))
+                texts_out.append(" ".join([d for w in split if (d := decoded[w])]))
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(encoded, pa.binary()), pa.array(texts_out, pa.string())]
+        return pa.table(columns, names=["doc_id", "ids", "decoded"])
+
+    return run
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded (the ids' pieces joined) of every row."""
-    split = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), WHITE).alias("words"))
-    asked = split.mapInArrow(_asked(block_chars), "block bigint, words array<string>")
-    asked = stored(asked.select("block", F.posexplode("words").alias("number", "word")))
-    encoded = asked.select("word").distinct().mapInArrow(_encoded(tokenizer_path), "word string, ids array<int>")
-    table = spelled(encoded, pieces(docs.sparkSession, tokenizer_path), "word")
-    answers = asked.join(table, "word", "left").select("block", "number", "ids", "decoded")
-    positions = split.mapInArrow(_positions(block_chars), "block bigint, doc_ids array<bigint>, counts array<bigint>, different bigint, numbers binary")
-    return positions.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joined, "doc_id bigint, ids binary, decoded string")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    routes = max(shuffle_partitions(docs.sparkSession), -(-chars // ROUTE_CHARS))
+    asked = rows.mapInArrow(_asked(routes, block_chars), "route int, block bigint, asked binary")
+    answers = asked.repartition(routes, "route").mapInArrow(_answers(tokenizer_path), "block bigint, asked binary, lengths binary, ids binary")
+    texts = rows.mapInArrow(_texts(block_chars), "block bigint, doc_ids array<bigint>, sizes array<bigint>, body binary")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joined(tokenizer_path), "doc_id bigint, ids binary, decoded string")
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> DataFrame:
