@@ -16,11 +16,12 @@ whenever it is computed again (as from files or a checkpoint).
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import os
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -35,12 +36,14 @@ SEQUENCE, END_ID, WINDOW = 1024, 0, 4_000_000
 SLICE = 500
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: Distinct chunks a task remembers at a time.
-KNOWN = 400_000
+#: Distinct chunks a task remembers at a time, and those a worker keeps for its next task.
+KNOWN, KEPT = 500_000, 150_000
 # White space as the split pattern of byte-level vocabularies sees it (fixed values, Unicode White_Space).
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: No token of such a vocabulary goes on from other characters to white space, so these chunks are encoded apart.
-_CHUNKS, _SPACED = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"), re.compile(f"[{_WHITE}]")
+#: No token of such a vocabulary goes on from other characters to white space, nor from letters to digits or signs, and what
+#: follows does not depend on what went before, so these chunks are encoded apart.
+_CHUNKS = re.compile(f"[{_WHITE}]*[A-Za-z]+(?=[!-@\\[-`{{-~])|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_SPACED = re.compile(f"[{_WHITE}]")
 
 
 @lru_cache(maxsize=2)
@@ -54,32 +57,45 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+class Encoder:
     """Texts -> ids (little-endian unsigned 32-bit) as the tokenizers library gives them, without special tokens added.
 
     With a byte-level vocabulary every distinct chunk (white space and what follows it) is encoded once and
-    remembered by this encoder (one a task), up to KNOWN chunks at a time; other files take whole texts.
+    remembered, up to KNOWN chunks at a time and KEPT between tasks; other files take whole texts.
     """
-    tokenizer, spec = _tokenizer(path), json.loads(open(path, encoding="utf-8").read())
-    pre = spec.get("pre_tokenizer") or {}
-    byte_level = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
-    apart = byte_level and spec.get("normalizer") is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or _SPACED.search(t["content"]) for t in spec["added_tokens"])
-    known: dict[str, bytes] = {}
-
-    def ids(chunks: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in tokenizer.encode_batch(chunks, add_special_tokens=False))]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if not apart:
-            return ids(texts)
-        if len(known) > KNOWN:
-            known.clear()
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer, spec = _tokenizer(path), json.loads(open(path, encoding="utf-8").read())
+        pre = spec.get("pre_tokenizer") or {}
+        byte_level = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+        self.apart = byte_level and spec.get("normalizer") is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or _SPACED.search(t["content"]) for t in spec["added_tokens"])
+        # a special token must lie in one chunk
+        self.apart = self.apart and all(_CHUNKS.fullmatch(t["content"]) and len(_CHUNKS.findall("a" + t["content"])) <= 2 for t in spec["added_tokens"])
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False))]
+
+    def trim(self, to: int) -> None:
+        """Forgets all but the chunks met first, which are the frequent ones."""
+        if len(self.known) > to:
+            self.known = dict(itertools.islice(self.known.items(), to))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return self.ids(texts)
+        if len(self.known) > KNOWN:
+            self.trim(KEPT)
         split = [_CHUNKS.findall(t) for t in texts]
-        new = list({c for chunks in split for c in chunks}.difference(known))
-        known.update(zip(new, ids(new), strict=True))
+        new = list(set().union(*split).difference(self.known))
+        self.known.update(zip(new, self.ids(new), strict=True))
+        known = self.known
         return [b"".join([known[c] for c in chunks]) for chunks in split]
 
-    return encode
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def assign(lengths: list[int], capacities: list[int], linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
@@ -165,6 +181,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text:
                     found, used = _window(held, first, sequence)
                     yield rows(found)
                     first, held, size = first + used, [], 0
+        encode.trim(KEPT)
         if held:
             yield rows(_window(held, first, sequence)[0])
 
