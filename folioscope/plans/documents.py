@@ -40,15 +40,11 @@ def w2_queue_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.review_queue(queue_blocks(spark, sf_dir), per_page=3, weights={"short_line": 0.25}).select("id", "page", "severity")
 
 
-@query("""
-SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate) AS INT) AS number FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderpriority, o_orderdate) = 1
-""")
+@query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS INT) AS number FROM orders")
 def w9_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer by priority; ties in time are left out of the comparison."""
-    from pyspark.sql import Window
-
-    once = F.count(F.lit(1)).over(Window.partitionBy("o_custkey", "o_orderpriority", "o_orderdate")) == 1
-    return D.numbered(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderdate").withColumn("once", once).where("once").select("o_orderkey", "number")
+    """Orders of a customer by priority, in the order of their days and keys."""
+    orders = table(spark, sf_dir, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
+    return D.numbered(orders, "o_custkey", "o_orderpriority", "at").select("o_orderkey", "number")
 
 
 @query(f"""

@@ -113,11 +113,12 @@ def p21_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH s AS (SELECT page_id, regexp_extract(html, '(?s)<style>(.*?)</style>', 1) AS css FROM pages), b AS (SELECT page_id, css FROM s WHERE contains(css, '{'))
+WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<style>(.*?)</style>', 1)) AS css FROM pages), b AS (SELECT page_id, css FROM s WHERE contains(css, '{'))
 SELECT page_id, trim(split_part(css, '{', 1)) AS selector, trim(split_part(split_part(split_part(css, '{', 2), '}', 1), ':', 1)) AS name, trim(split_part(split_part(split_part(css, '{', 2), '}', 1), ':', 2)) AS value FROM b
 """)
 def p31_css_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheets = table(spark, sf_dir, "pages").select("page_id", K.css_rules(F.regexp_extract("html", r"(?s)<style>(.*?)</style>", 1)).alias("r"))
+    styles = F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<style>(.*?)</style>"), F.lit(1))).alias("css")
+    sheets = table(spark, sf_dir, "pages").select("page_id", styles).select("page_id", K.css_rules(F.col("css")).alias("r"))
     return sheets.select("page_id", F.explode("r").alias("r")).select("page_id", "r.selector", "r.name", "r.value")
 
 
