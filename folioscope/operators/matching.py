@@ -206,15 +206,18 @@ def strip_affixes(words: DataFrame, roots: DataFrame, rules: DataFrame) -> DataF
     return by_suffix.unionByName(by_prefix).unionByName(by_both).unionByName(plain).distinct()
 
 
-def consensus(hypotheses: DataFrame, minimum: int) -> DataFrame:
+def consensus(hypotheses: DataFrame, minimum: int, order: str = "source") -> DataFrame:
     """Per region the text of most distinct sources, then highest mean and maximum confidence, then text.
 
     ``conflict`` if the runner-up has as many sources and those reach the minimum; ``accepted`` if the winner
-    reaches it without a conflict.
+    reaches it without a conflict. Confidences are added one by one by the column ``order``, however rows are dealt: the last bit
+    of a sum depends on it, and decides between means that are equal but for rounding.
     """
-    groups = hypotheses.groupBy("region", "text").agg(F.countDistinct("source").alias("support"), F.avg("confidence").alias("mean"), F.max("confidence").alias("top"))
-    order = Window.partitionBy("region").orderBy(F.desc("support"), F.desc("mean"), F.desc("top"), F.desc("text"))
-    ranked = groups.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("support").over(order)).where("place = 1")
+    listed = Window.partitionBy("region", "text").orderBy(order, "confidence")
+    added = hypotheses.withColumn("mean", F.avg("confidence").over(listed.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.row_number().over(listed))
+    groups = added.groupBy("region", "text").agg(F.countDistinct("source").alias("support"), F.max_by("mean", "at").alias("mean"), F.max("confidence").alias("top"))
+    ranks = Window.partitionBy("region").orderBy(F.desc("support"), F.desc("mean"), F.desc("top"), F.desc("text"))
+    ranked = groups.withColumn("place", F.row_number().over(ranks)).withColumn("next", F.lead("support").over(ranks)).where("place = 1")
     conflict = F.coalesce((F.col("next") == F.col("support")) & (F.col("support") >= minimum), F.lit(False))
     return ranked.select("region", "text", "support", conflict.alias("conflict"), ((F.col("support") >= minimum) & ~conflict).alias("accepted"))
 

@@ -144,13 +144,13 @@ r AS (SELECT *, row_number() OVER w AS place, lead(support) OVER w AS next FROM
 SELECT region, text, support, coalesce(next = support AND support >= 2, false) AS conflict, support >= 2 AND NOT coalesce(next = support AND support >= 2, false) AS accepted FROM r WHERE place = 1
 """)
 def j33_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.consensus(hypotheses(spark, sf_dir), 2)
+    return M.consensus(hypotheses(spark, sf_dir), 2, "turn")
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles as sources, a digit of the length as reading, another as confidence."""
     n = F.length("text")
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("region"), F.col("role").alias("source"), (n % 7).cast("string").alias("text"), ((n % 101) / F.lit(100.0)).alias("confidence"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("region"), F.col("role").alias("source"), "turn", (n % 7).cast("string").alias("text"), ((n % 101) / F.lit(100.0)).alias("confidence"))
 
 
 @query(f"""
