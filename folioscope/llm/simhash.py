@@ -388,7 +388,7 @@ def _pairs(blocks: DataFrame, rings: DataFrame, parts: int, similarity: float) -
     return dealt.mapInArrow(_met(similarity), "a bigint, b bigint").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have this Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +405,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, words: int,
                         kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    pairs = checkpointed(_possible(pairs, marks, similarity))
     asked = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = texts.join(_small(asked), "node", "left_semi")
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
@@ -438,7 +437,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text: str, words: int, similarit
     held = shared.withColumn("chunks", chunks).withColumn("own", own)
     inside = held.select("key", c("own").alias("low"), c("own").alias("high"), "own", "node", c("node").alias("root"), "size", "place", (c("chunks") > 1).alias("forest"))
     tried = checkpointed(_pairs(inside, rings, parts, similarity))
-    found = checkpointed(_verified(tried, texts, marks, words, similarity))
+    found = checkpointed(_verified(checkpointed(_possible(tried, marks, similarity)), texts, words, similarity))
 
     # Crowded keys that still hold several components: all pairs of different components, by blocks of two chunks
     crowded = held.where("chunks > 1").join(connected(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -446,7 +445,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text: str, words: int, similarit
     dealt = crowded.join(several, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), c("chunks") - 1)))
     blocks = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "size", "place", F.lit(False).alias("forest"))
     pairs = checkpointed(_pairs(blocks, rings, parts, similarity).join(tried, ["a", "b"], "left_anti"))
-    edges = found.unionByName(checkpointed(_verified(pairs, texts, marks, words, similarity)))
+    edges = found.unionByName(checkpointed(_verified(checkpointed(_possible(pairs, marks, similarity)), texts, words, similarity)))
 
     named = classes.join(connected(edges), "node", "left").select("__digest", F.coalesce("root", "node").alias("root"), F.struct("id", "node").alias("x"))
     chosen = named.groupBy("root").agg(F.min("x").alias("x"))
@@ -480,6 +479,124 @@ def one_per_similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
+def _chains(fp: Column, distance: int, segments: int) -> Column:
+    """The join keys of a fingerprint: each start with its longest chain of budget zero, in one long."""
+    width, free = 64 // segments, sum(b == 0 for b in _budgets(distance, segments))
+    if 64 % segments or not free or segments.bit_length() + width * free > 62:
+        raise ValueError("segments must divide 64, and their keys have a place beside the start")
+    turned = lambda i: F.shiftrightunsigned(_turned(fp, width * i), 64 - width * free)
+    return F.array(*(F.shiftleft(F.lit(i).cast("bigint"), width * free).bitwiseOR(turned(i)) for i in range(segments)))
+
+
+def _ring_holds(key: np.ndarray, one: np.ndarray, two: np.ndarray, distance: int, segments: int) -> np.ndarray:
+    """Whether the chains that begin at the start of the key keep to their budgets, the whole ring (full Hamming) last."""
+    width, budgets = 64 // segments, _budgets(distance, segments)
+    apart = (one ^ two).view(np.uint64)
+    turn = (key >> (width * sum(b == 0 for b in budgets))).astype(np.uint64) * np.uint64(width)
+    ring = (apart << turn) | (apart >> ((np.uint64(64) - turn) % np.uint64(64)))
+    held = np.ones(len(ring), dtype=bool)
+    for length in range(1, segments + 1):
+        if length == segments or budgets[length] != budgets[length - 1]:
+            held &= np.bitwise_count(ring >> np.uint64(64 - width * length)) <= budgets[length - 1]
+    return held
+
+
+def _shared_chains(distance: int, segments: int):
+    """Rows of keys with several members, with their number; rows of small groups only with a member that they link with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, node, fp), end in _whole_groups(batches, 1):
+            number = end - np.searchsorted(end, end)
+            own = number > CHUNK
+            at, step = np.flatnonzero((number > 1) & ~own), 0
+            while len(at):
+                step += 1
+                at = at[at + step < end[at]]
+                good = at[_ring_holds(key[at], fp[at], fp[at + step], distance, segments)]
+                own[good] = own[good + step] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (key, node, fp, number)], names=["key", "node", "fp", "n"])
+
+    return run
+
+
+def _met_chains(distance: int, segments: int):
+    """Linked pairs (a < b) of different roots inside every block of a key; of blocks marked ``forest`` a spanning forest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, low, high, own, node, root, fp, forest), end in _whole_groups(batches, 3):
+            at, step, ones, twos = np.arange(len(node)), 0, [], []
+            while True:
+                step += 1
+                at = at[at + step < end[at]]
+                if not len(at):
+                    break
+                to = at + step
+                good = (root[at] != root[to]) & ((low[at] == high[at]) | (own[at] != own[to]))
+                x, y = at[good], to[good]
+                near = _ring_holds(key[x], fp[x], fp[y], distance, segments)
+                ones.append(x[near])
+                twos.append(y[near])
+            if not ones:
+                continue
+            one, two = np.concatenate(ones), np.concatenate(twos)
+            if forest.any():
+                order = np.argsort(one, kind="stable")
+                kept = order[_spanning(one[order], two[order])]
+                one, two = one[kept], two[kept]
+            pairs = np.unique(np.stack([np.minimum(node[one], node[two]), np.maximum(node[one], node[two])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def one_per_linked(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, segments: int = SEGMENTS, checked_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of every group of near copies: of the smallest id and, where that is repeated, one of its rows.
+
+    Two texts link if their fingerprints differ in at most ``distance`` bits and their sets of shingles of ``checked_words``
+    words have a Jaccard similarity of ``similarity`` or more; equal sets collapse first. Pigeonring: chains with budget zero
+    are the join keys, longer chains prune, full Hamming follows, then the texts. No key is cut: in every chunk of CHUNK members of a
+    key a forest of the linked pairs is held against the texts first, then, where a key still has several components, all
+    pairs between these, by blocks of two chunks. Rows leave by row, not by id; rows without an id stay.
+    """
+    spark, c = docs.sparkSession, F.col
+    digest = lambda t: xxhash.xxh3_128_digest(shingle_hashes(t, checked_words).tobytes(), SEED)
+    both = lambda texts: [fingerprint(t, words).to_bytes(8, "big") + digest(t) for t in texts]
+    marked = with_column(docs.withColumn("__row", F.monotonically_increasing_id()), text, "__both", BinaryType(), both)
+    rows = checkpointed(marked.withColumn("__digest", F.substring("__both", 9, 16)))
+    least = F.min(F.struct(c(id_col).cast("bigint").alias("id"), c("__row").alias("node")))
+    classes = checkpointed(rows.where(c(id_col).isNotNull()).groupBy("__digest").agg(least.alias("x")).select("__digest", "x.id", "x.node"))
+    again = checkpointed(rows.select(c("__row").alias("node")).join(classes.select("node"), "node", "left_anti").select("node"))
+    single = rows.select(c("__row").alias("node"), c(text).alias("text"), "__both").join(_small(again), "node", "left_anti")
+    texts, parts = single.select("node", "text"), shuffle_partitions(spark)
+    fp = F.conv(F.hex(F.substring("__both", 1, 8)), 16, -10).cast("bigint")
+    keyed = single.select("node", fp.alias("fp")).select(F.explode(_chains(c("fp"), distance, segments)).alias("key"), "node", "fp")
+    shared = checkpointed(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared_chains(distance, segments), "key bigint, node bigint, fp bigint, n bigint"))
+    held = shared.withColumn("chunks", F.ceil(c("n") / CHUNK)).withColumn("own", F.pmod(F.xxhash64("node"), c("chunks")))
+
+    def pairs(blocks: DataFrame, forest: bool) -> DataFrame:
+        names = ["key", "low", "high", "own", "node", "root", "fp"]
+        dealt = blocks.select(*(c(n).cast("bigint") for n in names), F.lit(int(forest)).alias("forest")).repartition(parts, "key", "low", "high")
+        return dealt.sortWithinPartitions("key", "low", "high", "node").mapInArrow(_met_chains(distance, segments), "a bigint, b bigint").distinct()
+
+    def verified(found: DataFrame) -> DataFrame:
+        return checkpointed(_verified(found, texts, checked_words, similarity))
+
+    inside = held.withColumn("low", c("own")).withColumn("high", c("own")).withColumn("root", c("node"))
+    tried = checkpointed(pairs(inside, True))
+    found = verified(tried)
+    rooted = held.join(connected(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    dealt = rooted.join(several, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), c("chunks") - 1)))
+    blocks = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    edges = found.unionByName(verified(checkpointed(pairs(blocks, False).join(tried, ["a", "b"], "left_anti"))))
+
+    named = classes.join(connected(edges), "node", "left").select("__digest", F.coalesce("root", "node").alias("root"), F.struct("id", "node").alias("x"))
+    chosen = named.groupBy("root").agg(F.min("x").alias("x"))
+    stays = checkpointed(named.join(chosen.withColumnRenamed("x", "y"), "root").select("__digest", c("y.node").alias("chosen")))
+    gone = rows.where(c(id_col).isNotNull()).select(c("__row").alias("__gone"), "__digest").join(stays, "__digest").where(c("__gone") != c("chosen")).select("__gone")
+    return rows.join(gone, c("__row") == c("__gone"), "left_anti").select(*docs.columns)
+
+
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
     found = components(docs, id_col=id_col, **options)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioscope.llm import queries
+from folioscope.llm import queries, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -99,6 +99,39 @@ def test_one_of_each_group(staged):
     assert {r.doc_id for r in after} == set(first.values())
 
 
+def test_one_of_each_by_fingerprints(spark, monkeypatch):
+    """Against all pairs: SimHash fingerprints within 3 bits and a similarity of 0.8; copies beyond either stay, crowded keys are whole."""
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(12):
+        base = rnd.choices(words, k=rnd.choice([60, 300, 900]))
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3, 6])):
+                own[rnd.randrange(len(own))] = rnd.choice(words)
+            texts.append(" ".join(own))
+    passage = " ".join(rnd.choices(words, k=20))
+    texts += [" ".join([*rnd.choices(words, k=60), *[passage] * 60]) for _ in range(12)]  # alike by fingerprint only
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    rows = [(i, texts[k], "en", "s", len(texts[k])) for i, k in enumerate(order)]
+    prints, sets = [simhash.fingerprint(r[1]) for r in rows], [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    kinds = Counter()
+    for i in range(len(rows)):
+        for j in range(i):
+            near, alike = (prints[i] ^ prints[j]).bit_count() <= 3, len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            kinds[near, alike] += 1
+            if sets[i] == sets[j] or near and alike:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert len(kinds) == 4, kinds
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == sorted(set(root))
+
+
 def test_packing_holds_every_token(staged):
     before, after, _ = staged["packing"]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
