@@ -222,6 +222,33 @@ def consensus(hypotheses: DataFrame, minimum: int, order: str = "source") -> Dat
     return ranked.select("region", "text", "support", conflict.alias("conflict"), ((F.col("support") >= minimum) & ~conflict).alias("accepted"))
 
 
+#: Words by which texts and passages meet.
+INNER = 4
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id and item_id of texts (doc_id, text) that contain a whole passage (item_id, passage), a row for each two rows.
+
+    The first and last word of a passage may be parts of words of the text, those between are whole: they meet by a hash of the
+    first of these, up to INNER, as rows of adjacent words; then by the text. Passages of at most two words have none between and
+    are looked for in every text.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    passages = items.where(F.col("passage").isNotNull()).withColumn("w", F.filter(words("passage"), lambda w: w != ""))
+    passages = passages.select("item_id", "passage", F.slice("w", F.lit(2), F.greatest(F.least(F.size("w") - 2, F.lit(INNER)), F.lit(0))).alias("inner"))
+    keyed = passages.where(F.size("inner") > 0).select("item_id", "passage", F.xxhash64(F.array_join("inner", " ")).alias("key"), F.size("inner").alias("n"))
+    met = docs.select("doc_id", "text").join(F.broadcast(passages.where(F.size("inner") == 0)), F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    for n in [r[0] for r in keyed.select("n").distinct().collect()]:  # at most INNER
+        asked = keyed.where(F.col("n") == n)
+        own = docs.select("doc_id", words("text").alias("w"))
+        ahead = F.arrays_zip(*(F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - n + 1, F.lit(0))).alias(f"w{k}") for k in range(n)))
+        runs = own.select("doc_id", F.explode(ahead).alias("r")).select("doc_id", F.xxhash64(F.concat_ws(" ", *(f"r.w{k}" for k in range(n)))).alias("key"))
+        hits = runs.join(asked.select("key").distinct(), "key").distinct()
+        pairs = hits.join(asked, "key").join(docs.select("doc_id", "text"), "doc_id")
+        met = met.unionByName(pairs.where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id"))
+    return met
+
+
 def fused(hypotheses: DataFrame, lexicon: DataFrame, margin: float) -> DataFrame:
     """Best reading per region: confidence + min(.08, .04 * (sources of the text - 1)) + .10 * share of known words."""
     agree = F.count(F.lit(1)).over(Window.partitionBy("region", "text"))

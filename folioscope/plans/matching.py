@@ -237,14 +237,8 @@ WITH m AS (SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(docu
 SELECT source, count(DISTINCT doc_id) AS docs, count(*) AS pairs FROM m JOIN documents USING (doc_id) GROUP BY source
 """)
 def j32_contained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a whole benchmark passage: they meet by the passage's first five words, then by its text."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.slice(words("text"), 1, 5).alias("head"))
-    items = items.withColumn("key", F.concat_ws(" ", "head")).withColumn("tail", F.concat_ws(" ", F.slice("head", 2, 4)))
+    """Documents that hold a whole benchmark passage."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # the passage may start inside a word of the document, so runs meet by their last four words
-    run = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, 5)).alias("run"), F.concat_ws(" ", F.slice(w, i + 1, F.lit(4))).alias("tail")))
-    runs = docs.select("doc_id", F.explode(F.array_distinct(run(words("text")))).alias("r")).select("doc_id", "r.run", "r.tail")
-    hits = runs.join(items.select("key", "tail").distinct(), "tail").where(F.col("run").endswith(F.col("key"))).select("doc_id", "key").distinct()
-    met = hits.join(items, "key").join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
+    met = M.containing(docs, items).join(docs.select("doc_id", "source"), "doc_id")
     return met.groupBy("source").agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("pairs"))
